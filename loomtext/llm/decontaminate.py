@@ -36,6 +36,7 @@ BLOCK = 20_000
 CACHE = 300_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb lbs oz t ml cl l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years km/h mph kph c f k hz khz mhz ghz w kw mw kwh j kj cal kcal v a mb gb tb kb % percent dollars dollar euros euro cents cent usd eur gbp pounds meters metres meter metre miles mile inches feet litres liters grams kilograms kilometers kilometres".split())
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
+_PUNCTUATION = ".,;:!?()[]{}#*$%&|<>\"'"
 _NUMBER = re.compile(r"[+-]?\d[\d.,:/]*")
 _QUANTITY = re.compile(r"[$€£]?[+-]?\d[\d.,]*([a-z%/]+)")
 NUMBER, QUANTITY, UNIT, NAME = 1, 2, 3, 4
@@ -45,6 +46,12 @@ _PLACEHOLDER = {k: xxhash.xxh3_64_intdigest(b"\0slot%d" % k) for k in (NUMBER, Q
 def classify(chunk: str) -> tuple[int, int, int, bool]:
     """Hash of the chunk at a sentence's beginning (0: no word), hash and slot type elsewhere, and whether it ends a sentence."""
     ends = chunk.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
+    word = chunk.strip(_PUNCTUATION)
+    if word.isalpha():  # most chunks: no pattern is needed
+        low = word.lower()
+        if len(low) < 2 or low not in UNITS:
+            plain = xxhash.xxh3_64_intdigest(low.encode()) | 1
+            return (plain, _PLACEHOLDER[NAME], NAME, ends) if word[0].isupper() and not (len(word) > 1 and word.isupper()) else (plain, plain, 0, ends)
     word = chunk if chunk in ("%",) else _TRIM.sub("", chunk)
     if not word:
         return 0, 0, 0, ends
@@ -63,6 +70,19 @@ def classify(chunk: str) -> tuple[int, int, int, bool]:
     return _PLACEHOLDER[kind], _PLACEHOLDER[kind], kind, ends
 
 
+class Known(dict):
+    """Number of each chunk, classified when first met."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows: list[tuple[int, int, int, bool]] = []
+
+    def __missing__(self, chunk: str) -> int:
+        at = self[chunk] = len(self.rows)
+        self.rows.append(classify(chunk))
+        return at
+
+
 class Canonical:
     """Chunks to template words, each distinct chunk classified once."""
 
@@ -70,23 +90,14 @@ class Canonical:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.rows: list[tuple[int, int, int, bool]] = []
-        self.table = None
+        self.known, self.table = Known(), None
 
     def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Template hash, slot type and chunk place of each word."""
         if len(self.known) > CACHE:
             self._clear()
-        known, size = self.known, len(self.rows)
-        try:
-            at = [known[c] for c in chunks]
-        except KeyError:
-            for c in chunks:
-                if c not in known:
-                    known[c] = len(self.rows)
-                    self.rows.append(classify(c))
-            at = [known[c] for c in chunks]
+        self.rows, size = self.known.rows, len(self.known.rows)
+        at = list(map(self.known.__getitem__, chunks))
         if self.table is None or len(self.rows) != size:
             new = np.array([(a, b) for a, b, _, _ in self.rows[size:]], dtype=np.uint64).reshape(-1, 2)
             flags = np.array([(k, e) for _, _, k, e in self.rows[size:]], dtype=np.uint8).reshape(-1, 2)

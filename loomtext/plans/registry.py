@@ -1,14 +1,536 @@
-"""Registry of queries over the fixture tables, with their SQL."""
+"""Queries over the fixture tables, each beside the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomtext.functions import text as X
+from loomtext.functions import vectors as V
+from loomtext.operators import bayes, lexicon, lsa, sampling, search, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["vocabulary_topn"](spark, sf_dir)
+
+
+_TOKENS = "list_transform(regexp_extract_all(coalesce(text, ''), '(?i)[а-яё]+(?:[''’-][а-яё]+)*|[a-z]+(?:[''’-][a-z]+)*'), lambda x: lower(x))"
+_TOK = f"tok AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents)"
+_TF = f"{_TOK}, tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
+_N = "(SELECT count(*) FROM documents)"
+#: Small lexicons of the fixtures' languages: synonym to canonical form, and stop words.
+SYNONYMS = [("ein", "der"), ("die", "der"), ("das", "der"), ("une", "le"), ("la", "le"), ("les", "le"), ("los", "el"), ("las", "el")]
+STOPS = ["the", "a", "of", "and", "to", "de", "le", "und", "el"]
+LEMMAS = [("thes", "the"), ("anen", "an"), ("onen", "on"), ("eux", "eu"), ("enten", "ente")]
+_LEX = (
+    "syn(form, canonical) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SYNONYMS) + "), stops(word) AS (VALUES " + ", ".join(f"('{w}')" for w in STOPS)
+    + "), lem(form, lemma) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in LEMMAS) + ")"
+)
+_NORM = f"{_TOK}, {_LEX}, l AS (SELECT t.doc_id, t.term, coalesce(lem.lemma, t.term) AS lemma FROM tok t LEFT JOIN lem ON t.term = lem.form), n AS (SELECT l.*, coalesce(s.canonical, l.lemma) AS canonical FROM l LEFT JOIN syn s ON l.lemma = s.form WHERE l.lemma NOT IN (SELECT word FROM stops) AND l.term NOT IN (SELECT word FROM stops))"
+_LABELLED = "lab AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label FROM labels)"
+
+
+def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokenize(F.col("text"))).alias("term"))
+
+
+def lexicons(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return spark.createDataFrame(LEMMAS, "form string, lemma string"), spark.createDataFrame(SYNONYMS, "form string, canonical string"), spark.createDataFrame([(w,) for w in STOPS], "word string")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    return table(spark, sf_dir, "labels").select("doc_id", kind.alias("label"))
+
+
+# ---- text
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
+def tokenize_documents(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query(f"WITH {_TOK} SELECT term, count(*) AS cnt FROM tok GROUP BY term ORDER BY cnt DESC, term LIMIT 20")
+def vocabulary_topn(spark, sf_dir):
+    return terms.vocabulary(tokens_of(spark, sf_dir)).limit(20)
+
+
+@query(f"WITH {_TOK} SELECT term, count(*) AS cnt FROM tok GROUP BY term")
+def vocabulary(spark, sf_dir):
+    return tokens_of(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(r"""
+WITH s AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(replace(coalesce(text, ''), chr(10), chr(1)), '([.!?…])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM conversations)
+SELECT conv_id, turn, len(s) AS n_sentences, length(array_to_string(s, '')) AS n_chars FROM s""")
+def sentence_split(spark, sf_dir):
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.sentences(F.col("text")).alias("s"))
+    return s.select("conv_id", "turn", F.size("s").cast("long").alias("n_sentences"), F.length(F.array_join("s", "")).cast("long").alias("n_chars"))
+
+
+_FLAT = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, md5({_FLAT}) AS flat_md5, CASE WHEN length({_FLAT}) <= 160 THEN {_FLAT} ELSE rtrim(substr({_FLAT}, 1, 159)) || '…' END AS snippet FROM documents")
+def normalize_ws_snippet(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.squeeze(F.col("text"))).alias("flat_md5"), X.snippet(F.col("text")).alias("snippet"))
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, len(l) AS n_lines, md5(array_to_string(l, chr(10))) AS digest FROM l""")
+def load_lines(spark, sf_dir):
+    t = table(spark, sf_dir, "documents").select("doc_id", X.lines(F.col("text")).alias("l"))
+    return t.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
+
+
+@query("""
+WITH f AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS l FROM documents),
+c AS (SELECT doc_id, length(l) - length(replace(l, chr(9), '')) AS a, length(l) - length(replace(l, ',', '')) AS b, length(l) - length(replace(l, ';', '')) AS c FROM f)
+SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN ',' WHEN a = greatest(a, b, c) THEN chr(9) WHEN b = greatest(a, b, c) THEN ',' ELSE ';' END AS delimiter FROM c""")
+def delimiter_vote(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.delimiter(F.split(X.or_empty(F.col("text")), "\n")[0]).alias("delimiter"))
+
+
+_HEADS = [("text,label", True, "label_first"), ("review,sentiment", True, "sentiment_first"), ("Great film,positive", False, "label_first"), ("label", True, "label_first"), (",", False, "label_first"), ("sentiment,other", False, "sentiment_first")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()}, '{c}')" for a, b, c in _HEADS) + ") t(line, is_header, orientation)")
+def header_detect(spark, sf_dir):
+    rows = spark.createDataFrame([(a,) for a, _, _ in _HEADS], "line string")
+    cells = F.split("line", ",")
+    return rows.select("line", X.is_header(cells).alias("is_header"), X.orientation(cells).alias("orientation"))
+
+
+_ALIASES = [(" Positive ", "positive"), ("neautral", "neutral"), ("neg", "negative"), ("NEUT", "neutral"), ("good", ""), ("", "")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _ALIASES) + ") t(raw, label)")
+def label_alias(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a, _ in _ALIASES], "raw string").select("raw", X.label(F.col("raw")).alias("label"))
+
+
+@query("SELECT doc_id, CASE WHEN strpos(source, '_') > 0 THEN string_split(source, '_')[1] ELSE string_split(source, '.')[1] END AS topic FROM documents")
+def source_topic(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.topic_of(F.col("source")).alias("topic"))
+
+
+# ---- lexicons
+
+
+@query(f"WITH {_NORM} SELECT doc_id, canonical AS term, count(*) AS cnt FROM n GROUP BY ALL")
+def canonical_tokens(spark, sf_dir):
+    t = lexicon.doc_terms(lexicon.exploded(table(spark, sf_dir, "documents")), "canonical", *lexicons(spark))
+    return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(f"WITH {_NORM} SELECT 'raw' AS mode, count(DISTINCT term) AS size FROM tok UNION ALL SELECT 'lemma', count(DISTINCT lemma) FROM n UNION ALL SELECT 'canonical', count(DISTINCT canonical) FROM n")
+def doc_tokens_modes_vocab_size(spark, sf_dir):
+    t = lexicon.exploded(table(spark, sf_dir, "documents"))
+    out = None
+    for mode in ("raw", "lemma", "canonical"):
+        one = lexicon.doc_terms(t, mode, *lexicons(spark)).select("term").distinct().agg(F.count("term").alias("size")).select(F.lit(mode).alias("mode"), "size")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def stemmed_vocabulary(spark, sf_dir):
+    return lexicon.stems(tokens_of(spark, sf_dir))
+
+
+# ---- terms
+
+
+@query(f"WITH {_TF} SELECT term, df FROM df")
+def doc_frequency(spark, sf_dir):
+    return terms.document_frequency(terms.term_frequency(tokens_of(spark, sf_dir)))
+
+
+def _kept(spark, sf_dir, min_df=3, max_df=0.5):
+    tf = terms.term_frequency(tokens_of(spark, sf_dir))
+    n = table(spark, sf_dir, "documents").count()
+    return tf, terms.pruned(terms.document_frequency(tf), n, min_df, max_df), n
+
+
+_PRUNED = f"{_TF}, kept AS (SELECT term, df FROM df WHERE df >= 3 AND df <= 0.5 * {_N})"
+
+
+@query(f"WITH {_PRUNED} SELECT term, df, row_number() OVER (ORDER BY term) - 1 AS idx FROM kept")
+def df_pruned_vocab(spark, sf_dir):
+    _, kept, _ = _kept(spark, sf_dir)
+    return kept.join(terms.indexed(kept), "term").select("term", "df", "idx")
+
+
+@query(f"WITH {_TF} SELECT doc_id, term, tf FROM tf")
+def term_frequency(spark, sf_dir):
+    return terms.term_frequency(tokens_of(spark, sf_dir))
+
+
+@query(f"WITH {_PRUNED} SELECT term, round(ln((1 + {_N}::DOUBLE) / (1 + df)) + 1, 6) AS idf FROM kept")
+def idf_smooth(spark, sf_dir):
+    _, kept, n = _kept(spark, sf_dir)
+    return terms.idf(kept, n).select("term", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_PRUNED} SELECT term, round(ln({_N}::DOUBLE / df) + 1, 6) AS idf FROM kept")
+def idf_raw(spark, sf_dir):
+    _, kept, n = _kept(spark, sf_dir)
+    return terms.idf(kept, n, False).select("term", F.round("idf", 6).alias("idf"))
+
+
+_W = f"{_PRUNED}, w AS (SELECT doc_id, tf.term, %s * (ln((1 + {_N}::DOUBLE) / (1 + df)) + 1) AS w FROM tf JOIN kept USING (term))"
+
+
+@query(f"WITH {_W % '(1 + ln(tf))'} SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w")
+def tfidf_l2(spark, sf_dir):
+    tf, kept, n = _kept(spark, sf_dir)
+    return terms.tfidf(tf, terms.idf(kept, n), sublinear=True).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_W % 'tf'} SELECT doc_id, term, round(w, 6) AS weight FROM w")
+def tfidf_raw(spark, sf_dir):
+    tf, kept, n = _kept(spark, sf_dir)
+    return terms.tfidf(tf, terms.idf(kept, n), l2=False).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {_PRUNED} SELECT round(1 - (SELECT count(*) FROM tf JOIN kept USING (term))::DOUBLE / ({_N} * (SELECT count(*) FROM kept)), 6) AS sparsity")
+def tfidf_sparsity(spark, sf_dir):
+    tf, kept, n = _kept(spark, sf_dir)
+    a, b = tf.join(kept, "term").agg(F.count(F.lit(1)).alias("nnz")), kept.agg(F.count(F.lit(1)).alias("m"))
+    return a.join(F.broadcast(b)).select(F.round(1 - F.col("nnz") / (F.lit(n) * F.col("m")), 6).alias("sparsity"))  # single rows
+
+
+# ---- samples
+
+
+@query(f"WITH {_LABELLED} SELECT label, count(*) AS cnt FROM lab GROUP BY label")
+def class_counts(spark, sf_dir):
+    return labelled(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+_SPLIT = f"{_LABELLED}, split AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || doc_id::VARCHAR), doc_id) <= CASE WHEN count(*) OVER (PARTITION BY label) > 1 THEN greatest(1, least(round_even(count(*) OVER (PARTITION BY label) * 0.2, 0), count(*) OVER (PARTITION BY label) - 1)) ELSE 0 END AS is_test FROM lab)"
+
+
+@query(f"WITH {_SPLIT} SELECT doc_id, label, is_test FROM split")
+def stratified_split_assign(spark, sf_dir):
+    return sampling.stratified_split(labelled(spark, sf_dir)).select("doc_id", "label", "is_test")
+
+
+@query(f"WITH {_SPLIT} SELECT label, is_test, count(*) AS cnt FROM split GROUP BY ALL")
+def stratified_split_counts(spark, sf_dir):
+    return sampling.stratified_split(labelled(spark, sf_dir)).groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+_QUOTA = f"{_LABELLED}, r AS (SELECT doc_id, label, dense_rank() OVER (ORDER BY label) - 1 AS i, row_number() OVER (PARTITION BY label ORDER BY %s) AS rn FROM lab) SELECT doc_id, label FROM r WHERE rn <= 100 // (SELECT count(DISTINCT label) FROM lab) + CASE WHEN i < 100 %% (SELECT count(DISTINCT label) FROM lab) THEN 1 ELSE 0 END"
+
+
+@query(f"WITH {_QUOTA % 'doc_id'}")
+def balanced_subset(spark, sf_dir):
+    return sampling.quota(labelled(spark, sf_dir), 100).select("doc_id", "label")
+
+
+@query("WITH " + _QUOTA % "md5('42|' || doc_id::VARCHAR), doc_id")
+def balanced_seed_sample(spark, sf_dir):
+    return sampling.quota(labelled(spark, sf_dir), 100, seed=42).select("doc_id", "label")
+
+
+@query(f"WITH {_LABELLED} SELECT label, min(doc_id) AS doc_id FROM lab GROUP BY label")
+def first_per_class(spark, sf_dir):
+    return sampling.first_per_label(labelled(spark, sf_dir)).select("label", "doc_id")
+
+
+@query(f"WITH {_LABELLED} SELECT doc_id, label FROM lab QUALIFY row_number() OVER (PARTITION BY label ORDER BY doc_id) <= 5")
+def first_n_per_class(spark, sf_dir):
+    return sampling.first_per_label(labelled(spark, sf_dir), 5).select("doc_id", "label")
+
+
+# ---- naive Bayes
+
+_NB = f"""{_SPLIT}, {_TOK}, train AS (SELECT doc_id, label FROM split WHERE NOT is_test),
+c AS (SELECT label, term, count(*) AS c FROM tok JOIN train USING (doc_id) GROUP BY ALL),
+v AS (SELECT count(DISTINCT term) AS v FROM c), lab3 AS (SELECT DISTINCT label FROM train),
+t AS (SELECT lab3.label, coalesce(sum(c), 0) AS t FROM lab3 LEFT JOIN c ON c.label = lab3.label GROUP BY 1),
+prior AS (SELECT label, ln(count(*)::DOUBLE / (SELECT count(*) FROM train)) AS prior_log FROM train GROUP BY label),
+base AS (SELECT label, ln(1.0 / (t + v)) AS base_log FROM t, v),
+cond AS (SELECT label, term, ln((c + 1.0) / (t + v)) AS cond_log FROM c JOIN t USING (label), v),
+known AS (SELECT doc_id, term FROM tok WHERE term IN (SELECT term FROM c) AND doc_id IN (SELECT doc_id FROM labels)),
+n AS (SELECT doc_id, count(*) AS n FROM known GROUP BY doc_id),
+lift AS (SELECT doc_id, cond.label, sum(cond_log - base_log) AS lift FROM known JOIN cond USING (term) JOIN base ON base.label = cond.label GROUP BY ALL),
+logp AS (SELECT s.doc_id, p.label, prior_log + coalesce(n, 0) * base_log + coalesce(lift, 0) AS logp FROM split s CROSS JOIN prior p JOIN base b ON b.label = p.label LEFT JOIN n ON n.doc_id = s.doc_id LEFT JOIN lift l ON l.doc_id = s.doc_id AND l.label = p.label),
+pred AS (SELECT doc_id, label AS predicted FROM logp QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY logp DESC, label) = 1)"""
+
+
+def _nb(spark, sf_dir):
+    split = sampling.stratified_split(labelled(spark, sf_dir))
+    tokens = tokens_of(spark, sf_dir).join(split.select("doc_id"), "doc_id")
+    model = bayes.fit(split.where(~F.col("is_test")).select("doc_id", "label"), tokens)
+    return split, tokens, model
+
+
+@query(f"WITH {_NB} SELECT label, round(prior_log, 6) AS prior_log FROM prior")
+def nb_priors(spark, sf_dir):
+    return _nb(spark, sf_dir)[2].prior.select("label", F.round("prior_log", 6).alias("prior_log"))
+
+
+@query(f"WITH {_NB} SELECT label, term, round(cond_log, 6) AS cond_log FROM cond")
+def nb_cond_log(spark, sf_dir):
+    return _nb(spark, sf_dir)[2].cond.select("label", "term", F.round("cond_log", 6).alias("cond_log"))
+
+
+def _logp(spark, sf_dir):
+    split, tokens, model = _nb(spark, sf_dir)
+    return split, bayes.log_proba(model, split, tokens)
+
+
+@query(f"WITH {_NB} SELECT doc_id, label, round(logp, 4) AS logp FROM logp")
+def nb_log_proba(spark, sf_dir):
+    return _logp(spark, sf_dir)[1].select("doc_id", "label", F.round("logp", 4).alias("logp"))
+
+
+@query(f"WITH {_NB}, e AS (SELECT doc_id, label, exp(logp - max(logp) OVER (PARTITION BY doc_id)) AS e FROM logp) SELECT doc_id, label, round(e / sum(e) OVER (PARTITION BY doc_id), 5) AS p FROM e")
+def nb_predict_proba(spark, sf_dir):
+    return bayes.proba(_logp(spark, sf_dir)[1]).select("doc_id", "label", F.round("p", 5).alias("p"))
+
+
+@query(f"WITH {_NB} SELECT doc_id, predicted FROM pred")
+def nb_predict(spark, sf_dir):
+    return bayes.predict(_logp(spark, sf_dir)[1])
+
+
+@query(f"WITH {_NB} SELECT is_test, count(*) AS cnt, round(avg((predicted = label)::INT), 6) AS accuracy FROM split JOIN pred USING (doc_id) GROUP BY is_test")
+def nb_accuracy(spark, sf_dir):
+    split, logp = _logp(spark, sf_dir)
+    hit = split.join(bayes.predict(logp), "doc_id").withColumn("hit", (F.col("predicted") == F.col("label")).cast("double"))
+    return hit.groupBy("is_test").agg(F.count(F.lit(1)).alias("cnt"), F.round(F.avg("hit"), 6).alias("accuracy"))
+
+
+# ---- vectors and search
+
+_E = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+
+
+def vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+
+
+def _queries(vec: DataFrame) -> DataFrame:
+    """The query set of searches: every row whose id is divisible by 100."""
+    return vec.where(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vec")
+
+
+_SEARCH = f"{_E}, s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.v, e.v) AS score FROM e q JOIN e ON q.vec_id %% 100 = 0 %s), top AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS rank, id, score FROM s QUALIFY rank <= 10)"
+
+
+@query(f"WITH {_SEARCH % ''} SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM top")
+def cosine_topk(spark, sf_dir):
+    vec = vectors(spark, sf_dir)
+    return search.search(_queries(vec), vec, 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_SEARCH % 'AND e.vec_id <> q.vec_id'} SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM top")
+def similar_exclude_self(spark, sf_dir):
+    vec = vectors(spark, sf_dir)
+    return search.search(_queries(vec), vec, 10, exclude_self=True).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_SEARCH % 'AND e.vec_id <> q.vec_id'} SELECT round(avg((a.label = b.label)::INT), 6) AS agreement FROM top JOIN e a ON a.vec_id = query_id JOIN e b ON b.vec_id = id WHERE rank = 1")
+def top1_agreement(spark, sf_dir):
+    vec = vectors(spark, sf_dir)
+    best = search.search(_queries(vec), vec, 1, exclude_self=True)
+    a, b = vec.select(F.col("id").alias("query_id"), F.col("label").alias("x")), vec.select("id", F.col("label").alias("y"))
+    return best.join(a, "query_id").join(b, "id").agg(F.round(F.avg((F.col("x") == F.col("y")).cast("double")), 6).alias("agreement"))
+
+
+@query(f"""WITH {_SEARCH % 'AND e.vec_id <> q.vec_id'}, k AS (SELECT query_id, list(DISTINCT b.label) AS s, any_value(a.label) AS own FROM top JOIN e a ON a.vec_id = query_id JOIN e b ON b.vec_id = id WHERE rank <= 3 GROUP BY query_id)
+SELECT round(avg(CASE WHEN list_contains(s, own) THEN 1.0 / len(s) ELSE 0 END), 6) AS jaccard FROM k""")
+def topk_jaccard(spark, sf_dir):
+    """Mean overlap of the labels of the three nearest with the query's own label."""
+    vec = vectors(spark, sf_dir)
+    near = search.search(_queries(vec), vec, 3, exclude_self=True)
+    a, b = vec.select(F.col("id").alias("query_id"), F.array("label").alias("own")), vec.select("id", F.col("label").alias("y"))
+    sets = near.join(b, "id").groupBy("query_id").agg(F.collect_set("y").alias("s")).join(a, "query_id")
+    return sets.agg(F.round(F.avg(F.size(F.array_intersect("s", "own")) / F.size(F.array_union("s", "own"))), 6).alias("jaccard"))
+
+
+_MEAN = f"{_E}, d AS (SELECT label, unnest(v) AS x, unnest(range(len(v))) AS dim FROM e), m AS (SELECT label, dim, avg(x) AS x FROM d GROUP BY ALL)"
+
+
+@query(f"WITH {_MEAN} SELECT label, dim, round(x, 6) AS mean FROM m")
+def mean_pool_vectors(spark, sf_dir):
+    return vectors(spark, sf_dir).select("label", F.posexplode("vec").alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("mean")).withColumn("dim", F.col("dim").cast("long"))
+
+
+@query(f"""WITH {_MEAN}, c AS (SELECT label, list(x ORDER BY dim) AS v FROM m GROUP BY label), q AS (SELECT list(a.x - b.x + c.x ORDER BY a.dim) AS v FROM m a JOIN m b USING (dim) JOIN m c USING (dim) WHERE a.label = 0 AND b.label = 1 AND c.label = 2)
+SELECT label, round(list_cosine_similarity(c.v, q.v), 6) AS score FROM c, q WHERE label NOT IN (0, 1, 2)""")
+def word_analogy(spark, sf_dir):
+    """Centroid 0 - 1 + 2 against the other centroids."""
+    means = vectors(spark, sf_dir).select("label", F.posexplode("vec").alias("dim", "x")).groupBy("label", "dim").agg(F.avg("x").alias("x"))
+    cents = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vec"))
+    three = cents.where("label in (0, 1, 2)").agg(*[F.max(F.when(F.col("label") == i, F.col("vec"))).alias(f"v{i}") for i in range(3)])
+    q = three.select(F.zip_with(F.zip_with("v0", "v1", lambda x, y: x - y), "v2", lambda x, y: x + y).alias("q"))
+    return cents.where("label not in (0, 1, 2)").join(F.broadcast(q)).select("label", F.round(V.cosine(F.col("vec"), F.col("q")), 6).alias("score"))  # one row
+
+
+@query(f"WITH {_E} SELECT vec_id AS id, round(sqrt(list_dot_product(v, v)), 6) AS norm, sqrt(list_dot_product(v, v)) <= 1e-12 AS degenerate FROM e")
+def zero_norm_guard(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", F.round(V.norm(F.col("vec")), 6).alias("norm"), V.degenerate(F.col("vec")).alias("degenerate"))
+
+
+@query("SELECT min(doc_id) AS twin, count(DISTINCT doc_id) AS cnt FROM documents WHERE text IS NOT NULL GROUP BY text")
+def twin_lookup(spark, sf_dir):
+    """Each distinct text's first document, and how many have it."""
+    return table(spark, sf_dir, "documents").where("text is not null").groupBy(F.xxhash64("text").alias("h"), "text").agg(F.min("doc_id").alias("twin"), F.count_distinct("doc_id").alias("cnt")).select("twin", "cnt")
+
+
+# ---- skip-gram preparation
+
+_POS = f"pos AS (SELECT doc_id, unnest({_TOKENS}) AS term, unnest(range(len({_TOKENS}))) AS pos FROM documents)"
+#: Distances of a window of two words on either side.
+_NEAR = "(VALUES (-2), (-1), (1), (2)) d(k)"
+
+
+@query(f"WITH {_POS} SELECT a.term AS center, b.term AS context, count(*) AS cnt FROM pos a, {_NEAR} JOIN pos b ON a.doc_id = b.doc_id AND b.pos = a.pos + d.k GROUP BY ALL")
+def skipgram_pairs(spark, sf_dir):
+    """Counts of (center, context) within two words; pairs are formed inside each row's array, without a join."""
+    t = table(spark, sf_dir, "documents").select(X.tokenize(F.col("text")).alias("t"))
+    pairs = F.transform("t", lambda x, i: F.struct(x.alias("center"), F.concat(F.slice("t", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), F.slice("t", i + 2, 2)).alias("near")))
+    return t.select(F.explode(pairs).alias("p")).select("p.center", F.explode("p.near").alias("context")).groupBy("center", "context").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(f"WITH {_POS}, n AS (SELECT doc_id, count(*) AS n FROM pos GROUP BY doc_id) SELECT doc_id, sum(least(pos, 2) + least(n - 1 - pos, 2))::BIGINT AS n_pairs FROM pos JOIN n USING (doc_id) GROUP BY doc_id")
+def context_window(spark, sf_dir):
+    """Pairs that a window of two gives in each document."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.size(X.tokenize(F.col("text"))).alias("n")).where("n > 0")
+    each = F.aggregate(F.sequence(F.lit(1), F.lit(2)), F.lit(0).cast("long"), lambda s, k: s + 2 * F.greatest(F.col("n") - k, F.lit(0)))
+    return t.select("doc_id", each.alias("n_pairs"))
+
+
+_CDF = f"{_TF}, p AS (SELECT term, pow(count(*), 0.75) AS w FROM tok GROUP BY term HAVING count(*) >= 5), cdf AS (SELECT term, sum(w) OVER (ORDER BY term) / sum(w) OVER () AS cum, w / sum(w) OVER () AS p FROM p)"
+
+
+def _cdf(spark, sf_dir) -> DataFrame:
+    """Unigram distribution ^0.75 of terms found five times or more, summed in order of term.
+
+    The running sum is taken inside range partitions and lifted by the partitions' totals.
+    """
+    p = tokens_of(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("c")).where("c >= 5").select("term", F.pow("c", F.lit(0.75)).alias("w"))
+    parts = p.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "term").withColumn("p", F.spark_partition_id())
+    inner = parts.withColumn("run", F.sum("w").over(Window.partitionBy("p").orderBy("term")))
+    sums = inner.groupBy("p").agg(F.max("run").alias("s"))
+    lift = sums.withColumn("skip", F.coalesce(F.sum("s").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("all", F.sum("s").over(Window.partitionBy()))  # one row per partition
+    return inner.join(F.broadcast(lift), "p").select("term", ((F.col("skip") + F.col("run")) / F.col("all")).alias("cum"), (F.col("w") / F.col("all")).alias("p"))
+
+
+@query(f"WITH {_CDF} SELECT term, round(cum, 6) AS cum, round(p, 9) AS p FROM cdf")
+def unigram_cdf(spark, sf_dir):
+    return _cdf(spark, sf_dir).select("term", F.round("cum", 6).alias("cum"), F.round("p", 9).alias("p"))
+
+
+@query(f"WITH {_CDF}, u AS (SELECT vec_id, (vec_id * 7919 % 1000 + 0.5) / 1000 AS u FROM embeddings) SELECT vec_id, (SELECT min(term) FROM cdf WHERE cum >= u) AS term FROM u")
+def negative_sample_asof(spark, sf_dir):
+    """Inverse of the distribution at given draws: the first term whose running sum reaches the draw."""
+    u = table(spark, sf_dir, "embeddings").select("vec_id", ((F.col("vec_id") * 7919 % 1000 + 0.5) / 1000).alias("u"))
+    cdf = _cdf(spark, sf_dir).select("term", "cum", (F.col("cum") - F.col("p")).alias("low"))
+    grid = cdf.withColumn("cell", F.explode(F.sequence(F.floor(F.greatest(F.col("low"), F.lit(0.0)) * 1000 - 1e-6).cast("int"), F.floor(F.col("cum") * 1000 + 1e-6).cast("int"))))
+    hit = u.withColumn("cell", F.floor(F.col("u") * 1000).cast("int")).join(grid, "cell").where(F.col("cum") >= F.col("u"))
+    return hit.groupBy("vec_id").agg(F.min(F.struct("cum", "term")).getField("term").alias("term"))
+
+
+@query(f"WITH t AS (SELECT conv_id, turn, {_TOKENS} AS t FROM conversations), v AS (SELECT term, row_number() OVER (ORDER BY term) AS idx FROM (SELECT DISTINCT unnest(t) AS term FROM t)), p AS (SELECT conv_id, turn, unnest(t) AS term, unnest(range(len(t))) AS pos FROM t), i AS (SELECT conv_id, turn, list(idx ORDER BY pos) AS ids FROM p JOIN v USING (term) GROUP BY ALL) SELECT t.conv_id, t.turn, least(len(t.t), 64)::INT AS length, md5(array_to_string(list_resize(list_concat(coalesce(ids, []), []), 64, 0), ' ')) AS ids_md5 FROM t LEFT JOIN i USING (conv_id, turn)")
+def pad_indices(spark, sf_dir):
+    """Word indices from 1, cut or filled with 0 to 64."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.tokenize(F.col("text")).alias("t"))
+    vocab = terms.indexed(rows.select(F.explode("t").alias("term")).distinct(), first=1)
+    flat = rows.select("conv_id", "turn", F.posexplode("t").alias("pos", "term")).join(vocab, "term")
+    ids = flat.groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda s: s["idx"].cast("int")).alias("ids"))
+    out = rows.join(ids, ["conv_id", "turn"], "left").select("conv_id", "turn", F.least(F.size("t"), F.lit(64)).alias("length"), X.pad(F.coalesce("ids", F.array().cast("array<int>")), 64).alias("ids"))
+    return out.select("conv_id", "turn", "length", F.md5(F.array_join("ids", " ")).alias("ids_md5"))
+
+
+# ---- latent topics
+
+
+def _lsa(spark, sf_dir, k=5):
+    tf, kept, n = _kept(spark, sf_dir, min_df=20, max_df=0.5)
+    idx = terms.indexed(kept)
+    weights = terms.tfidf(tf, terms.idf(kept, n)).join(idx, "term").select("doc_id", "idx", "weight")
+    return lsa.fit(weights, k), idx
+
+
+@query()
+def lsa_fit_sigma(spark, sf_dir):
+    """Singular values and their share of the retained spectrum."""
+    model, _ = _lsa(spark, sf_dir)
+    return model.sigma.withColumn("share", F.col("sigma") * F.col("sigma") / F.sum(F.col("sigma") * F.col("sigma")).over(Window.partitionBy()))  # k rows
+
+
+@query()
+def lsa_topics(spark, sf_dir):
+    """The ten terms of each topic with the largest loadings."""
+    model, idx = _lsa(spark, sf_dir)
+    order = Window.partitionBy("topic").orderBy(F.desc(F.abs("loading")), "idx")
+    return model.loadings.withColumn("rank", F.row_number().over(order)).where("rank <= 10").join(idx, "idx").select("topic", "rank", "term", F.round("loading", 6).alias("loading"))
+
+
+@query()
+def lsa_query(spark, sf_dir):
+    """Each document whose id is divisible by 100 against all, by cosine in topic space."""
+    model, _ = _lsa(spark, sf_dir)
+    vec = model.documents.withColumnRenamed("doc_id", "id")
+    return search.search(_queries(vec), vec, 10)
+
+
+@query()
+def w2v_similar(spark, sf_dir):
+    """The nearest words of the 20 most common ones, by vectors of words with hierarchical softmax."""
+    from pyspark.ml.feature import Word2Vec
+
+    rows = table(spark, sf_dir, "documents").select(X.tokenize(F.col("text")).alias("words"))
+    model = Word2Vec(vectorSize=24, minCount=20, maxIter=1, seed=42, inputCol="words", outputCol="v", numPartitions=spark.sparkContext.defaultParallelism).fit(rows)
+    words = model.getVectors().select("word", F.col("vector"))
+    from pyspark.ml.functions import vector_to_array
+
+    idx = terms.indexed(words.select(F.col("word").alias("term"))).withColumnRenamed("term", "word")
+    vec = words.join(idx, "word").select(F.col("idx").alias("id"), vector_to_array("vector").alias("vec"), "word")
+    top = terms.vocabulary(tokens_of(spark, sf_dir)).limit(20).select(F.col("term").alias("word"))
+    near = search.search(vec.join(F.broadcast(top), "word").select(F.col("id").alias("query_id"), "vec"), vec, 5, exclude_self=True)
+    names = vec.select("id", "word")
+    return near.join(names.select(F.col("id").alias("query_id"), F.col("word").alias("query")), "query_id").join(names, "id").select("query", "rank", "word", "score")
+
+
+@query()
+def pca_2d(spark, sf_dir):
+    """The embeddings on their first two principal axes; each axis's largest entry is positive."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    vec = vectors(spark, sf_dir)
+    axes = PCA(k=2, inputCol="v", outputCol="p").fit(vec.select(array_to_vector("vec").alias("v"))).pc.toArray()
+    mean = vec.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).orderBy("i").collect()  # one row per dimension
+    out = vec
+    for k in range(2):
+        a = axes[:, k] * (1 if axes[abs(axes[:, k]).argmax(), k] > 0 else -1)
+        out = out.withColumn(f"p{k + 1}", V.dot(F.col("vec"), F.array(*map(F.lit, a.tolist()))) - float(sum(x["x"] * y for x, y in zip(mean, a))))
+    return out.select("id", F.round("p1", 6).alias("p1"), F.round("p2", 6).alias("p2"))
