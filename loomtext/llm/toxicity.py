@@ -3,8 +3,8 @@
 Texts are folded (case, look-alike digits, punctuation inside words dropped, single letters set
 apart by blanks put together) into words over a small alphabet. The kernel of two words counts
 common subsequences of four characters within six (a word's beginning counts as a character), each
-gap decayed by ``LAMBDA``; an inserted or dropped character leaves many of them in place. The machine is linear in the Nyström features
-K(x, landmarks) K(landmarks, landmarks)^-1/2, so its value for a word is a weighted sum of the
+gap decayed by ``LAMBDA``; an inserted or dropped character leaves many of them in place. The
+machine is linear in the Nyström features K(x, landmarks) K(landmarks, landmarks)^-1/2, so its value for a word is a weighted sum of the
 word's own subsequences: scoring is one table lookup for each of them, whatever the number of
 landmarks. A document's score is a logistic function of its words' values.
 
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from loomtext.llm.common import crc_fold, durable, labelled_sample, table
 
 #: The most training rows of each label, the most words taken as instances of each kind, and landmarks.
-SAMPLE_BOUND, WORDS_BOUND, LANDMARKS = 2_500, 2_500, 384
+SAMPLE_BOUND, WORDS_BOUND, LANDMARKS = 2_500, 5_000, 512
+#: Cost of a unit of margin, for the average word.
+COST = 0.3
 LAMBDA, SPAN, LONGEST = 0.6, 6, 48
 #: Offsets (h, j, k) of a subsequence i < i+h < i+j < i+k, with its weight.
 STEPS = [(h, j, k, LAMBDA ** (k - 3)) for k in range(3, SPAN) for j in range(2, k) for h in range(1, j)]
@@ -143,56 +145,75 @@ def document_features(texts: list[str], weights: np.ndarray, bias: float) -> np.
     return out
 
 
-def embed(words: list[str]) -> np.ndarray:
-    """The subsequence map of each word, as rows (only over subsequences that the words have) of unit norm."""
-    triples, rows, weights = [], [], []
+def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subsequence map of the words at unit norm, as (subsequence, weight, word) sorted by word."""
     codes, starts = fold(words)
     begin, length = words_of(codes)
     owner = np.searchsorted(starts, begin, side="right") - 1
-    for b, n, o in zip(begin, length, owner):
-        c = np.concatenate(([0], codes[b : b + n])).astype(np.int64)
-        for h, j, k, w in STEPS:
-            if n + 1 > k:
-                m = n + 1 - k
-                t = (c[:m] << 15) + (c[h : m + h] << 10) + (c[j : m + j] << 5) + c[k:]
-                triples.append(t), rows.append(np.full(len(t), o)), weights.append(np.full(len(t), w))
-    if not triples:
-        return np.zeros((len(words), 0)), np.zeros(0, dtype=np.int64)
-    names, place = np.unique(np.concatenate(triples), return_inverse=True)
-    out = np.zeros((len(words), len(names)), dtype=np.float32)
-    np.add.at(out, (np.concatenate(rows), place), np.concatenate(weights))
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return out / np.maximum(norm, 1e-9), names
-
-
-def fit_machine(words: list[str], y: np.ndarray, importance: np.ndarray, landmarks: int = LANDMARKS, epochs: int = 60) -> tuple[np.ndarray, float]:
-    """Weights by subsequence, and bias, of the machine in Nyström space (squared hinge, Newton steps)."""
-    x, names = embed(words)
-    order = np.lexsort((np.arange(len(words)), -importance))
-    some = [order[y[order] > 0][: landmarks // 2], order[y[order] < 0][: landmarks - landmarks // 2]]
-    marks = x[np.concatenate(some)]
-    kernel = marks @ marks.T
-    values, vectors = np.linalg.eigh(kernel.astype(np.float64))
+    wide = np.concatenate(([0], codes, np.zeros(SPAN, dtype=np.uint8))).astype(np.int64)
+    place = np.concatenate([np.arange(b, b + n) for b, n in zip(begin, length)]) if len(begin) else np.zeros(0, dtype=np.int64)
+    word, end = np.repeat(owner, length), np.repeat(begin + length, length)
+    keys, weights = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    for h, j, k, w in STEPS:
+        at = place[fits := place + k <= end]
+        keys.append((word[fits] << 20) + (wide[at] << 15) + (wide[at + h] << 10) + (wide[at + j] << 5) + wide[at + k])
+        weights.append(np.full(len(at), w))
+    names, again = np.unique(np.concatenate(keys), return_inverse=True)
+    value = np.bincount(again, weights=np.concatenate(weights), minlength=len(names))
+    word = names >> 20
+    norm = np.sqrt(np.bincount(word, weights=value * value, minlength=len(words)))
+    return names & ((1 << 20) - 1), (value / np.maximum(norm[word], 1e-9)).astype(np.float32), word
+
+
+def kernel(words: list[str], marks: list[str], chunk: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kernel of each word with each landmark; and the landmarks' subsequences with their weights (rows)."""
+    triples, weights, owner = subsequences(marks)
+    names, place = np.unique(triples, return_inverse=True)
+    table_ = np.zeros((len(names), len(marks)), dtype=np.float32)
+    table_[place, owner] = weights
+    out = np.zeros((len(words), len(marks)), dtype=np.float32)
+    for a in range(0, len(words), chunk):
+        t, v, o = subsequences(words[a : a + chunk])
+        at = np.minimum(np.searchsorted(names, t), max(0, len(names) - 1))
+        there = names[at] == t if len(names) else np.zeros(len(t), dtype=bool)
+        at, v, o = at[there], v[there], o[there]
+        if len(o):
+            first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+            out[a + o[first]] = np.add.reduceat(table_[at] * v[:, None], first)
+    return out, names, table_
+
+
+def fit_machine(words: list[str], toxic: np.ndarray, clean: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Weights by subsequence, and bias, of the machine in Nyström space (squared hinge, Newton steps).
+
+    A word is an example of both kinds, at the costs given: words that toxic and clean texts use
+    alike end near the middle, so that only those that toxic texts prefer get high values.
+    """
+    lead, common = np.argsort(-(toxic - clean), kind="stable"), np.argsort(-clean, kind="stable")
+    spread = np.random.default_rng(3).permutation(len(words))
+    marks = [words[i] for i in dict.fromkeys([*lead[: landmarks // 2], *common[: landmarks // 4], *spread[: landmarks // 2]])][:landmarks]
+    own, _, _ = kernel(marks, marks)
+    values, vectors = np.linalg.eigh(own.astype(np.float64))
     keep = values > 1e-4 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = np.hstack([(x @ marks.T).astype(np.float64) @ root, np.ones((len(x), 1))])
+    near, names, table_ = kernel(words, marks)
+    z = np.hstack([near @ root.astype(np.float32), np.ones((len(words), 1), dtype=np.float32)])
+    del near
     w = np.zeros(z.shape[1])
-    ridge = np.full(len(w), 1.0)
-    ridge[-1] = 1e-3
-    cost = 10.0 * importance
-    for _ in range(epochs):
-        margin = 1 - y * (z @ w)
-        on = margin > 0
-        grad = ridge * w - (z[on] * (2 * cost[on] * y[on] * margin[on])[:, None]).sum(axis=0)
-        hess = np.diag(ridge) + 2 * (z[on] * cost[on][:, None]).T @ z[on]
+    ridge = np.ones(len(w))
+    ridge[-1] = 1e-6
+    for _ in range(rounds):
+        f = z @ w.astype(np.float32)
+        up, down = np.where(f < 1, toxic, 0.0), np.where(f > -1, clean, 0.0)
+        grad = ridge * w - 2 * ((up * (1 - f) - down * (1 + f)).astype(np.float32) @ z)
+        hess = np.diag(ridge) + 2 * (z * (up + down).astype(np.float32)[:, None]).T @ z
         step = np.linalg.solve(hess, grad)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
-    alpha = root @ w[:-1]
-    table_ = np.zeros(1 << 20, dtype=np.float32)
-    table_[names] = (alpha @ marks).astype(np.float32)
-    return table_, float(w[-1])
+    out = np.zeros(1 << 20, dtype=np.float32)
+    out[names] = (table_ @ (root @ w[:-1])).astype(np.float32)
+    return out, float(w[-1])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,22 +272,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND)
     if not count.get(1) or not count.get(0):
         return None, float(bool(count.get(1)))
     by_word = sample.mapInArrow(_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(F.expr("1 - toxic")).alias("c"))
-    odds = F.log((F.col("t") + 0.3) / (count[1] + 1) * (count[0] + 1) / (F.col("c") + 0.3))
-    by_word = by_word.withColumn("gain", F.sqrt(F.col("t") + F.col("c")) * odds)
-    lead = by_word.where("t >= 2").orderBy(F.desc("gain"), "word").limit(WORDS_BOUND)
-    rest = by_word.where("c >= 1").orderBy(F.desc(F.col("c") * F.when(odds < 0.3, 1).otherwise(0)), F.xxhash64("word"), "word").limit(2 * WORDS_BOUND)
-    noise = by_word.where("c >= 1 and t = 0").orderBy(F.xxhash64("word"), "word").limit(WORDS_BOUND)
-    got = lead.withColumn("kind", F.lit(1)).unionByName(rest.withColumn("kind", F.lit(0))).unionByName(noise.withColumn("kind", F.lit(0))).toPandas()
-    strong = got[(got.kind == 1) & (got.gain > 2.5)].drop_duplicates("word")
-    weak = got[(got.kind == 0) & ~got.word.isin(set(strong.word))].drop_duplicates("word")
-    if not len(strong) or not len(weak):
+    lead = by_word.where("t >= 1").orderBy(F.desc(F.col("t") / count[1] - F.col("c") / count[0]), F.xxhash64("word"), "word").limit(WORDS_BOUND)
+    common = by_word.where("c >= 1").orderBy(F.desc("c"), F.xxhash64("word"), "word").limit(WORDS_BOUND // 2)
+    others = by_word.where("c >= 1").orderBy(F.xxhash64("word"), "word").limit(WORDS_BOUND)
+    got = lead.unionByName(common).unionByName(others).toPandas().drop_duplicates("word")
+    if not got.t.sum() or not got.c.sum():
         return None, float(count[1] > count[0])
-    words = _respell([*strong.word, *weak.word])
-    y = np.concatenate([np.ones(len(strong)), -np.ones(len(weak))])
-    importance = np.concatenate([np.sqrt(strong.t.to_numpy(float)), np.sqrt(np.minimum(16.0, weak.c.to_numpy(float)))])
-    importance[: len(strong)] *= 0.5 * importance[len(strong) :].sum() / importance[: len(strong)].sum()
-    importance /= importance.mean()
-    weights, bias = fit_machine(words, y, importance)
+    t, c = np.sqrt(got.t.to_numpy(float)), np.sqrt(got.c.to_numpy(float))
+    weights, bias = fit_machine(_respell(list(got.word)), COST * len(got) * t / t.sum(), COST * len(got) * c / c.sum())
     x = sample.mapInArrow(lambda b: _features(b, weights, bias), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     share = rows.agg(F.avg("toxic")).first()[0]
     w, mean, scale = fit_logistic(x[FEATURES].to_numpy(), x.toxic.to_numpy(float))
