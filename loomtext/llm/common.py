@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +42,40 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches are taken in pieces of about so many bytes, since their Python objects take several times that.
+PIECE_BYTES = 8 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that none is much over PIECE_BYTES."""
+    for batch in batches:
+        rows = batch.num_rows
+        size = max(1, rows * PIECE_BYTES // max(1, batch.nbytes))
+        if rows <= size:
+            yield batch
+        else:
+            for a in range(0, rows, size):
+                yield batch.slice(a, size)
+
+
+def frugal(step: Callable) -> Callable:
+    """For the functions of mapInArrow: small pieces in, and at the end a task's memory goes back to the system.
+
+    Spark keeps Python workers for later tasks; what one task has cached would otherwise count
+    against the executor while the next stage fills its own.
+    """
+
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch], *args, **kwargs) -> Iterator[pa.RecordBatch]:
+        yield from step(pieces(batches), *args, **kwargs)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def labelled_sample(labels: DataFrame, bound: int, seed: int = 17) -> DataFrame:
     """At most ``bound`` label rows, drawn by a hash of the id: a bounded, repeatable draw."""
     return labels.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), F.col("doc_id")).limit(bound)

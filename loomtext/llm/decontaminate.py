@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import mix64, table
+from loomtext.llm.common import frugal, mix64, table
 
 WINDOW, COVERAGE = 5, 0.8
 #: The most items broadcast at once.
@@ -71,14 +71,14 @@ def classify(chunk: str) -> tuple[int, int, int, bool]:
 
 
 class Known(dict):
-    """Number of each chunk, classified when first met."""
+    """Number of each chunk, classified when first met; ``rows`` holds what isn't in the tables yet."""
 
     def __init__(self):
         super().__init__()
         self.rows: list[tuple[int, int, int, bool]] = []
 
     def __missing__(self, chunk: str) -> int:
-        at = self[chunk] = len(self.rows)
+        at = self[chunk] = len(self)
         self.rows.append(classify(chunk))
         return at
 
@@ -96,11 +96,12 @@ class Canonical:
         """Template hash, slot type and chunk place of each word."""
         if len(self.known) > CACHE:
             self._clear()
-        self.rows, size = self.known.rows, len(self.known.rows)
+        size = len(self.known)
         at = list(map(self.known.__getitem__, chunks))
-        if self.table is None or len(self.rows) != size:
-            new = np.array([(a, b) for a, b, _, _ in self.rows[size:]], dtype=np.uint64).reshape(-1, 2)
-            flags = np.array([(k, e) for _, _, k, e in self.rows[size:]], dtype=np.uint8).reshape(-1, 2)
+        rows = self.known.rows
+        if self.table is None or rows:
+            new = np.array([(a, b) for a, b, _, _ in rows], dtype=np.uint64).reshape(-1, 2)
+            flags = np.array([(k, e) for _, _, k, e in rows], dtype=np.uint8).reshape(-1, 2)
             if self.table is None or size + len(new) > len(self.table):
                 grown = max(1024, 2 * (size + len(new)))
                 old, old_flags = self.table, getattr(self, "flags", None)
@@ -108,6 +109,7 @@ class Canonical:
                 if old is not None:
                     self.table[:size], self.flags[:size] = old[:size], old_flags[:size]
             self.table[size : size + len(new)], self.flags[size : size + len(new)] = new, flags
+            rows.clear()
         at = np.array(at, dtype=np.int64)
         flags = self.flags[at]
         begins = np.concatenate(([True], flags[:-1, 1].astype(bool))) if len(at) else np.zeros(0, dtype=bool)
@@ -198,6 +200,7 @@ def consistent(pairs: set[tuple[int, str, str]], part: float = COVERAGE) -> bool
     return fine >= part * len(pairs)
 
 
+@frugal
 def _mark(batches: Iterator[pa.RecordBatch], items: list, at: int, coverage: float) -> Iterator[pa.RecordBatch]:
     index, canonical = ItemIndex(items), Canonical()
     leak = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))

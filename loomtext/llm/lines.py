@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import durable, table
+from loomtext.llm.common import durable, frugal, table
 
 #: A line goes if at least so many documents have its key, of at least so many code points.
 MIN_DOCS, MIN_CHARS = 10, 1
@@ -52,6 +52,7 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+@frugal
 def _distinct_keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[int] = []
@@ -68,6 +69,7 @@ def common_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     return keys.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("key")
 
 
+@frugal
 def _drop(batches: Iterator[pa.RecordBatch], common: np.ndarray, at: int, min_chars: int) -> Iterator[pa.RecordBatch]:
     """Each batch with its text column cut, and n_lines and n_dropped after the others."""
     drop = set(common.tolist())

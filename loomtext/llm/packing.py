@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import durable, table
+from loomtext.llm.common import durable, frugal, table
 
 CAPACITY, CLOSING = 2048, 0
 #: Distinct chunks whose ids a worker keeps.
@@ -82,6 +82,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(starts, [*starts[1:], n])]
 
 
+@frugal
 def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str | None) -> Iterator[pa.RecordBatch]:
     ids_of = ChunkEncoder(vocabulary).ids
     pid = TaskContext.get().partitionId()
@@ -214,6 +215,7 @@ def intervals(steps: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY
     return {k: np.array(v, dtype=np.int64) for k, v in rows.items()}
 
 
+@frugal
 def _place(batches: Iterator[pa.RecordBatch], places: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         length = batch.column("length").to_numpy(zero_copy_only=False)

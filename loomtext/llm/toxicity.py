@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import crc_fold, durable, labelled_sample, table
+from loomtext.llm.common import crc_fold, durable, frugal, labelled_sample, table
 
 #: The most training rows of each label, the most words taken as instances of each kind, and landmarks.
 SAMPLE_BOUND, WORDS_BOUND, LANDMARKS = 2_500, 5_000, 512
@@ -249,6 +248,7 @@ def _respell(words: list[str]) -> list[str]:
     return [w.translate(table_) for w in words]
 
 
+@frugal
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         labels = batch.column(0).to_pylist()
@@ -257,6 +257,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([w for ws in lists for w in ws], pa.string()), pa.array([lab for lab, ws in zip(labels, lists) for _ in ws], pa.int32())], names=["word", "toxic"])
 
 
+@frugal
 def _features(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = document_features([t or "" for t in batch.column(1).to_pylist()], weights, bias)
@@ -289,19 +290,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND)
     return (weights, bias, w, mean, scale), 0.0
 
 
+def scores_of(column: pa.Array, model, constant: float) -> np.ndarray:
+    """Score of each text of the column."""
+    texts = [t or "" for t in column.to_pylist()]
+    score = np.full(len(texts), constant)
+    if model is not None:
+        weights, bias, w, mean, scale = model
+        for a, b in chunks(texts):
+            x = (document_features(texts[a:b], weights, bias) - mean) / scale
+            score[a:b] = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    return score
+
+
+@frugal
 def _scores(batches: Iterator[pa.RecordBatch], model, constant: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        score = np.full(len(texts), constant)
-        if model is not None:
-            weights, bias, w, mean, scale = model
-            for a, b in chunks(texts):
-                x = (document_features(texts[a:b], weights, bias) - mean) / scale
-                score[a:b] = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+        score = scores_of(batch.column(1), model, constant)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
 
-def chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``most`` characters, so that the arrays stay small; a longer text is a run of its own."""
     a = total = 0
     for i, t in enumerate(texts):
@@ -319,11 +327,10 @@ def score_toxicity(docs: DataFrame, model, constant: float = 0.0) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lambda b: _scores(b, model, constant), schema)
 
 
+@frugal
 def _clean(batches: Iterator[pa.RecordBatch], at: int, model, constant: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pair = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["doc_id", "text"])
-        for scored in _scores(iter([pair]), model, constant):
-            yield batch.filter(pa.compute.less(scored.column(1), 0.5))
+        yield batch.filter(pa.array(scores_of(batch.column(at), model, constant) < 0.5))
 
 
 def drop_toxic(docs: DataFrame, model, constant: float = 0.0) -> DataFrame:
