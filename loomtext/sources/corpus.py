@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +54,14 @@ def parse_reviews(content: str) -> list[tuple[int, str, str]]:
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(path, row_id, label, text) of every review file at ``path``; files are read in parallel, one task each."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for p, raw in zip(b["path"], b["content"]):
-                rows = parse_reviews(decode(bytes(raw)))
-                yield pd.DataFrame({"path": [p] * len(rows), "row_id": [r for r, _, _ in rows], "label": [x for _, x, _ in rows], "text": [t for _, _, t in rows]})
+            for p, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                rows = parse_reviews(decode(raw.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows), pa.string()), pa.array([r for r, _, _ in rows], pa.int64()), pa.array([x for _, x, _ in rows], pa.string()), pa.array([t for _, _, t in rows], pa.string())], names=["path", "row_id", "label", "text"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = files.mapInPandas(read, "path string, row_id long, label string, text string")
+    out = files.mapInArrow(read, "path string, row_id long, label string, text string")
     if not out.limit(1).count():
         raise ValueError(f"no labelled rows in {path}")
     return out
