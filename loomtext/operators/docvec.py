@@ -1,0 +1,104 @@
+"""Document vectors by negative sampling (distributed bag of words).
+
+Word vectors are trained on a bounded sample of the corpus in one process; the vectors of all
+documents are then inferred in parallel, word vectors frozen, so the corpus may have any size. A
+document's vector starts at the unit centroid of its known words and takes a constant rate; the
+random numbers start anew for each document, so equal texts get equal vectors.
+
+A document without known words has the zero vector.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: The most documents that word vectors are trained on.
+SAMPLE_BOUND = 2_000
+
+
+@dataclass
+class DocVec:
+    vocabulary: dict[str, int]
+    words: np.ndarray
+    cdf: np.ndarray
+    negative: int = 5
+    epochs: int = 10
+    alpha: float = 0.05
+    seed: int = 42
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+
+
+def train(docs: list[list[str]], dim: int = 50, epochs: int = 10, negative: int = 5, min_count: int = 2, alpha: float = 0.05, min_alpha: float = 1e-3, seed: int = 42) -> DocVec:
+    """Word vectors of at most a bounded list of documents; the rate falls from epoch to epoch."""
+    if min(dim, epochs, min_count) < 1 or negative < 0 or not 0 < alpha:
+        raise ValueError("dim, epochs and min_count must be at least 1, negative at least 0, alpha positive")
+    counts: dict[str, int] = {}
+    for d in docs:
+        for w in d:
+            counts[w] = counts.get(w, 0) + 1
+    names = sorted(w for w, c in counts.items() if c >= min_count)
+    if not names:
+        raise ValueError("no word is frequent enough")
+    vocabulary = {w: i for i, w in enumerate(names)}
+    share = np.array([counts[w] for w in names], dtype=float) ** 0.75
+    rng = np.random.default_rng(seed)
+    vectors, words = (rng.random((len(docs), dim)) - 0.5) / dim, np.zeros((len(names), dim))
+    model = DocVec(vocabulary, words, np.cumsum(share / share.sum()), max(1, negative), epochs, alpha, seed)
+    pairs = np.array([(i, vocabulary[w]) for i, d in enumerate(docs) for w in d if w in vocabulary], dtype=np.int64).reshape(-1, 2)
+    for epoch in range(epochs):
+        rate = alpha - (alpha - min_alpha) * epoch / max(1, epochs - 1)
+        order = rng.permutation(len(pairs))
+        for a in range(0, len(order), 256):  # small batches: near the sequential updates, in matrix products
+            d, w = pairs[order[a : a + 256]].T
+            target = np.concatenate((w[:, None], np.searchsorted(model.cdf, rng.random((len(w), model.negative)))), axis=1)
+            target = np.minimum(target, len(names) - 1)
+            v = vectors[d]
+            gap = -_sigmoid(np.einsum("bd,bkd->bk", v, words[target]))
+            gap[:, 0] += 1
+            gap[:, 1:] *= target[:, 1:] != w[:, None]
+            step = np.einsum("bk,bkd->bd", gap, words[target])
+            np.add.at(words, target.ravel(), rate * (gap[:, :, None] * v[:, None, :]).reshape(-1, dim))
+            np.add.at(vectors, d, rate * step)
+    return model
+
+
+def infer(model: DocVec, tokens: list[str]) -> np.ndarray:
+    w = np.array([model.vocabulary[t] for t in tokens if t in model.vocabulary], dtype=np.int64)
+    if not len(w):
+        return np.zeros(model.words.shape[1])
+    v = model.words[w].mean(axis=0)
+    v = v / max(1e-12, float(np.linalg.norm(v)))
+    rng = np.random.default_rng(model.seed)
+    for _ in range(model.epochs):
+        n = np.minimum(np.searchsorted(model.cdf, rng.random((len(w), model.negative))), len(model.words) - 1)
+        up = (1 - _sigmoid(model.words[w] @ v)) @ model.words[w]
+        down = (_sigmoid(model.words[n] @ v) * (n != w[:, None])).ravel() @ model.words[n.ravel()]
+        v = v + model.alpha * (up - down) / max(1.0, len(w) / 32)  # a long text doesn't take longer steps
+    return v
+
+
+def sample(tokens: DataFrame, bound: int = SAMPLE_BOUND, seed: int = 42) -> list[list[str]]:
+    """Token lists of at most ``bound`` documents, drawn by a hash of the id."""
+    rows = tokens.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(bound).select("words").collect()
+    return [r[0] for r in rows]
+
+
+def vectors(model: DocVec, tokens: DataFrame) -> DataFrame:
+    """tokens (doc_id, words): (doc_id, vec), inferred in parallel."""
+    shared = tokens.sparkSession.sparkContext.broadcast(model)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [infer(shared.value, x.as_py() or []).tolist() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "vec"])
+
+    return tokens.select("doc_id", "words").mapInArrow(each, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, vec array<double>")

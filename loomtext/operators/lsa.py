@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
@@ -28,13 +29,16 @@ class Lsa:
 def fit(weights: DataFrame, k: int) -> Lsa:
     """weights (doc_id, idx, weight), idx dense from 0. Singular values under 1e-7 of the first count as none."""
     spark = weights.sparkSession
+    weights = weights.persist()
     size = int(weights.agg(F.max("idx")).first()[0]) + 1
     rows = weights.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("w"))
     n = rows.count()
     k = max(1, min(k, min(n, size) - 1))
-    matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(size, [(x["idx"], x["weight"]) for x in r["w"]])), n, size)
-    svd = matrix.computeSVD(k, rCond=1e-12)
+    # the solver passes over the rows once for each of its steps
+    kept = rows.rdd.map(lambda r: Vectors.sparse(size, [(x["idx"], x["weight"]) for x in r["w"]])).persist(StorageLevel.MEMORY_AND_DISK)
+    svd = RowMatrix(kept, n, size).computeSVD(k, rCond=1e-12)
     sigma, v = np.array(svd.s.toArray()), svd.V.toArray()
+    kept.unpersist()
     keep = sigma > 1e-7 * sigma[0]
     sigma, v = np.pad(sigma[keep], (0, k - int(keep.sum()))), np.pad(v[:, keep], ((0, 0), (0, k - int(keep.sum()))))
     v = v * np.where(v[np.abs(v).argmax(axis=0), range(k)] < 0, -1.0, 1.0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as X
 from loomtext.functions import vectors as V
-from loomtext.operators import bayes, lexicon, lsa, sampling, search, terms
+from loomtext.operators import bayes, docvec, lexicon, lsa, neural, sampling, search, terms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -534,3 +534,46 @@ def pca_2d(spark, sf_dir):
         a = axes[:, k] * (1 if axes[abs(axes[:, k]).argmax(), k] > 0 else -1)
         out = out.withColumn(f"p{k + 1}", V.dot(F.col("vec"), F.array(*map(F.lit, a.tolist()))) - float(sum(x["x"] * y for x, y in zip(mean, a))))
     return out.select("id", F.round("p1", 6).alias("p1"), F.round("p2", 6).alias("p2"))
+
+
+# ---- learnt document vectors
+
+
+def _words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.col("text")).alias("words"))
+
+
+@query()
+def d2v_query(spark, sf_dir):
+    """Each document whose id is divisible by 100 against all, by inferred document vectors."""
+    words = _words(spark, sf_dir)
+    vec = docvec.vectors(docvec.train(docvec.sample(words, 500), dim=32, epochs=5), words).withColumnRenamed("doc_id", "id").persist()
+    return search.search(_queries(vec), vec, 10, exclude_self=True)
+
+
+def _network(spark, sf_dir, kind):
+    words = _words(spark, sf_dir)
+    topics = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label")).where("label is not null")
+    return neural.train(kind, *neural.sample(words.join(topics, "doc_id"), 1_000), epochs=3), words
+
+
+@query()
+def cnn_predict(spark, sf_dir):
+    """Topic of every document by a convolutional encoder."""
+    net, words = _network(spark, sf_dir, "cnn")
+    return neural.score(net, words).select("doc_id", "label", F.round(F.array_max("probabilities"), 6).alias("p"))
+
+
+@query()
+def gru_predict(spark, sf_dir):
+    """Topic of every document by a recurrent encoder."""
+    net, words = _network(spark, sf_dir, "gru")
+    return neural.score(net, words).select("doc_id", "label", F.round(F.array_max("probabilities"), 6).alias("p"))
+
+
+@query()
+def cnn_query(spark, sf_dir):
+    """Each document whose id is divisible by 100 against all, by convolutional document vectors."""
+    net, words = _network(spark, sf_dir, "cnn")
+    vec = neural.score(net, words).select(F.col("doc_id").alias("id"), "vec").persist()
+    return search.search(_queries(vec), vec, 10, exclude_self=True)
