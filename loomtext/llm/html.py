@@ -38,6 +38,8 @@ from loomtext.llm.urls import parts
 MIN_PAGES, MIN_CLASS, SUPPORT = 4, 3, 0.8
 #: Template tokens that are broadcast (some 100 bytes each); more are joined by host.
 BROADCAST_TOKENS = 100_000
+#: Characters from which a path is shortened to a digest.
+LONG_PATH = 2_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(?:>|(?=<)|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in ("script", "style", "textarea", "noscript", "template", "svg", "title")}
@@ -72,23 +74,29 @@ def _is_cut(tag: str, attributes: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "cut", "path", "block", "index")
+    __slots__ = ("tag", "cut", "path", "block", "index", "link")
 
-    def __init__(self, tag: str, cut: bool, path: str, block: int, index: int):
-        self.tag, self.cut, self.path, self.block, self.index = tag, cut, path, block, index
+    def __init__(self, tag: str, cut: bool, path: str, block: int, index: int, link: bool = False):
+        self.tag, self.cut, self.path, self.block, self.index, self.link = tag, cut, path, block, index, link
 
 
-def read(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, int, bool, tuple[int, ...], str, bool]], list[tuple[int, str, str]]]:
-    """Tag tokens (path, tag); text nodes (text, block, cut, open elements' numbers, path, in a link); elements (number, tag, path)."""
-    tags, texts, elements = [], [], [(0, "", "")]
+def read(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, int, bool, int, str, bool]], list[tuple[int, str, str, int]]]:
+    """Tag tokens (path, tag); text nodes (text, block, cut, innermost element's number, path, in a link); elements (number, tag, path, parent's number)."""
+    tags, texts, elements = [], [], [(0, "", "", -1)]
     stack = [Node("", False, "", 0, 0)]
+    depth: Counter = Counter()  # open elements of each name, so that a search of the stack for none is spared
     block, at, size = 0, 0, len(html)
 
     def text(a: int, b: int) -> None:
         if b > a and stack[-1].tag not in ("script", "style") and not (piece := html[a:b]).isspace():
-            texts.append((piece, block, stack[-1].cut, tuple(n.index for n in stack), stack[-1].path, any(n.tag == "a" for n in stack)))
+            texts.append((piece, block, stack[-1].cut, stack[-1].index, stack[-1].path, stack[-1].link))
         elif b > a and texts and texts[-1][1] == block:  # blanks between inline elements part words
-            texts.append((" ", block, stack[-1].cut, tuple(n.index for n in stack), stack[-1].path, False))
+            texts.append((" ", block, stack[-1].cut, stack[-1].index, stack[-1].path, False))
+
+    def close(i: int) -> None:
+        for n in stack[i:]:
+            depth[n.tag] -= 1
+        del stack[i:]
 
     while at < size:
         m = _TOKEN.search(html, at)
@@ -105,9 +113,9 @@ def read(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, int, bool, t
                 texts.append((" ", block, stack[-1].cut, texts[-1][3], stack[-1].path, False))
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if depth[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("article", "main", "body", "td") and tag in _INLINE:
                     break
@@ -116,15 +124,17 @@ def read(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, int, bool, t
             continue
         if tag in _ENDS:
             ends, bounds = _ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(depth[t] for t in ends) else ():
                 if stack[i].tag in bounds:
                     break
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    close(i)
                     break
         if tag not in _INLINE:
             block += 1
         path = f"{stack[-1].path}/{tag}" if tag not in _INLINE else stack[-1].path
+        if len(path) > LONG_PATH:  # deep nesting: the path's digest stands for it
+            path = f"~{xxhash.xxh3_64_hexdigest(path.encode('utf-8', 'surrogatepass'))}"
         tags.append((path, tag))
         if tag in _VOID or m[3].endswith("/"):
             continue
@@ -134,11 +144,10 @@ def read(html: str) -> tuple[list[tuple[str, str]], list[tuple[str, int, bool, t
             if tag not in ("noscript", "svg"):
                 block += 1
             continue
-        node = Node(tag, stack[-1].cut or _is_cut(tag, m[3]), path, block, len(elements))
-        elements.append((node.index, tag, path))
+        node = Node(tag, stack[-1].cut or _is_cut(tag, m[3]), path, block, len(elements), stack[-1].link or tag == "a")
+        elements.append((node.index, tag, path, stack[-1].index))
         stack.append(node)
-        if len(stack) > 400:  # markup nested beyond reason: its text goes to what is open
-            stack.pop()
+        depth[tag] += 1
     return tags, texts, elements
 
 
@@ -194,32 +203,36 @@ def main_text(html: str | None, template: set[int] | frozenset[int] = frozenset(
     _, texts, elements = read(html or "")
     if not texts:
         return ""
-    roots = {i for i, tag, _ in elements if tag == "article"} or {i for i, tag, _ in elements if tag == "main"}
+    roots = {i for i, tag, _, _ in elements if tag == "article"} or {i for i, tag, _, _ in elements if tag == "main"}
     if not roots:
         weight: Counter = Counter()
-        skeleton = {i for i, tag, path in elements if tag and tag not in _INLINE and tag not in ("p", "html") and (not template or _code(f"<{path}>") in template)} or {0}
+        skeleton = {i for i, tag, path, _ in elements if tag and tag not in _INLINE and tag not in ("p", "html") and (not template or _code(f"<{path}>") in template)} or {0}
+        inner: list[int] = []  # each element's innermost element of the skeleton, itself included
+        for i, _, _, up in elements:
+            inner.append(i if i in skeleton else inner[up] if up >= 0 else -1)
         for piece, _, cut, opened, path, link in texts:
             if cut or link or template and _code(f"{path}|{squeeze(piece)}") in template:
                 continue
-            inner = [i for i in opened if i in skeleton]
-            if inner:
-                weight[inner[-1]] += len(piece)
+            if inner[opened] >= 0:
+                weight[inner[opened]] += len(piece)
         if weight:
             best = max(weight, key=lambda i: (weight[i], -i))
             # a container that holds most of the page's slot text along with its parts
             total = sum(weight.values())
-            opened_by = next(o for _, _, cut, o, _, _ in texts if best in o)
-            chain = [i for i in opened_by[: opened_by.index(best) + 1] if i in skeleton]
-            roots = {best} if weight[best] >= 0.7 * total or len(chain) < 2 else {chain[-2]}
+            up = inner[elements[best][3]] if best else -1
+            roots = {best} if weight[best] >= 0.7 * total or up < 0 else {up}
         else:
             roots = {0}
         drop_template = True
     else:
         drop_template = False
+    inside: list[bool] = []
+    for i, _, _, up in elements:
+        inside.append(i in roots or up >= 0 and inside[up])
     blocks: list[list[str]] = []
     last = None
     for piece, block, cut, opened, path, _ in texts:
-        if cut or roots.isdisjoint(opened):
+        if cut or not inside[opened]:
             continue
         if drop_template and template and piece != " " and _code(f"{path}|{squeeze(piece)}") in template:
             continue

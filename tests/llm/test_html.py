@@ -21,3 +21,10 @@ def test_template_of_a_host(spark):
         assert got[3].text == "Own text number 3 is here, and long enough." and got[3].n_chars == len(got[3].text)
         assert got[101].text == got[0].text and got[100].text == "" and got[102].n_chars == 5000 + 2 * 4999
     assert extract(rows.where("false")).count() == 0
+
+
+def test_deep_nesting_closes_its_own():
+    deep = "<div>" * 500 + "in" + "</div>" * 500
+    assert main_text(f"<div><article><p>before</p>{deep}<p>after</p></article>out</div>") == "before\n\nin\n\nafter"
+    assert main_text("<i>" * 450 + "out<article><p>text</p><nav>menu</nav></article>") == "text"
+    assert main_text("<article>" + "<b>x" * 20_000 + "</i>" * 20_000) == "x" * 20_000
