@@ -8,8 +8,10 @@ a host has. Classes of at least ``MIN_CLASS`` tokens found in at least ``SUPPORT
 pages are valid; nested by path they are the host's template: its tags are the skeleton, its text
 nodes are boilerplate, and what lies between are slots.
 
-A page's main text is what is in its content slot: the article or main element if the page has one, else
-the skeleton's container with the most slot text that isn't links. Menus, headers, footers,
+A page's main text is the slot text of its content element: the article or main element if the page has one, else
+the skeleton's container with the most slot text that isn't links. In an article or main element a block
+that is template text throughout is boilerplate; an element with no other text is a copy of the host's
+other pages, and is kept whole. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments are cut by element and by class name.
 Character references are decoded, white space inside a block is one space, blocks are joined by
 two \\n in page order.
@@ -223,23 +225,30 @@ def main_text(html: str | None, template: set[int] | frozenset[int] = frozenset(
             roots = {best} if weight[best] >= 0.7 * total or up < 0 else {up}
         else:
             roots = {0}
-        drop_template = True
+        by_block = False
     else:
-        drop_template = False
+        by_block = True
     inside: list[bool] = []
     for i, _, _, up in elements:
         inside.append(i in roots or up >= 0 and inside[up])
     blocks: list[list[str]] = []
+    own: list[bool] = []  # whether the block has slot text
     last = None
     for piece, block, cut, opened, path, _ in texts:
         if cut or not inside[opened]:
             continue
-        if drop_template and template and piece != " " and _code(f"{path}|{squeeze(piece)}") in template:
+        blank = piece.isspace()
+        boiler = bool(template) and not blank and _code(f"{path}|{squeeze(piece)}") in template
+        if boiler and not by_block:
             continue
         if block != last:
             blocks.append([])
+            own.append(False)
             last = block
         blocks[-1].append(piece)
+        own[-1] |= not boiler and not blank
+    if by_block and any(own):
+        blocks = [b for b, o in zip(blocks, own) if o]
     return "\n\n".join(t for b in blocks if (t := squeeze("".join(b))))
 
 

@@ -28,3 +28,14 @@ def test_deep_nesting_closes_its_own():
     assert main_text(f"<div><article><p>before</p>{deep}<p>after</p></article>out</div>") == "before\n\nin\n\nafter"
     assert main_text("<i>" * 450 + "out<article><p>text</p><nav>menu</nav></article>") == "text"
     assert main_text("<article>" + "<b>x" * 20_000 + "</i>" * 20_000) == "x" * 20_000
+
+
+def test_template_inside_articles(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>Editors choose these pages</p><div class='x'><p>Read it in our app</p><p>Call the desk</p></div><p>Own <b>text</b> number {i} is here.</p></article></body>"
+    copy = "<body><main><p>All</p><p>of it</p><p>is alike</p></main></body>"
+    rows = spark.createDataFrame([(i, f"http://h.com/{i}", page(i)) for i in range(8)] + [(100 + i, f"http://k.com/{i}", copy) for i in range(5)] + [(200, "http://one.com/", page(9))], "page_id long, url string, html string")
+    for broadcast in (100_000, 0):
+        got = {r.page_id: r.text for r in extract(rows, broadcast).collect()}
+        assert got[3] == "Title 3\n\nOwn text number 3 is here."
+        assert got[102] == "All\n\nof it\n\nis alike"
+        assert "Call the desk" in got[200]  # a host of one page has no template
