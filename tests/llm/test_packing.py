@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from loomtext.llm.packing import ChunkEncoder, best_fit, cut, fit_counts, pack, patterns_of, plan
+from loomtext.llm.packing import ChunkEncoder, best_fit, cut, fit_counts, fit_patterns, pack, patterns_of, plan
 from tests.llm.helpers import awkward, docs
 
 
@@ -35,6 +35,18 @@ def test_fit_recovers_known_counts():
     assert 450 <= counts[patterns.tolist().index([30, 70, 0])] <= 500
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_patterns_place_most_pieces(seed):
+    """The least squares and not the residual's best fit place the pieces, at no more sequences."""
+    rng = np.random.default_rng(seed)
+    histogram = np.bincount(np.clip(rng.gamma(2.0, 350.0, 6000).astype(int), 1, 2047), minlength=2049)
+    steps, rest = fit_patterns(histogram)
+    assert all(sum(p) == 2048 and n > 0 for p, n in steps)
+    assert sum(len(p) * n for p, n in steps) + rest.sum() == histogram.sum()
+    assert rest.sum() <= 0.1 * histogram.sum()
+    assert sum(n for _, n in plan(histogram)) <= sum(n for _, n in best_fit(histogram, 2048))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_holds_every_piece_once(seed):
     rng = np.random.default_rng(seed)
