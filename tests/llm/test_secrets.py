@@ -2,8 +2,9 @@ import base64
 import json
 import random
 import re
+import time
 
-from loomtext.llm.secrets import base_spans, der_items, find_secrets, is_der_key, scan
+from loomtext.llm.secrets import base_spans, der_items, find_secrets, is_der_key, is_ssh_key, scan
 from tests.llm.helpers import awkward, docs
 
 SLOW = [
@@ -27,22 +28,88 @@ def der(tag, body):
     return bytes([tag]) + size + body
 
 
+field = lambda x: len(x).to_bytes(4, "big") + x
+part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+OID, PBES2 = der(6, bytes.fromhex("2a864886f70d010101")), der(6, bytes.fromhex("2a864886f70d01050d"))
+
+
+def private_keys(rng):
+    """One key of each layout, by kind."""
+    rsa = der(0x30, der(2, b"\0") + b"".join(der(2, rng.randbytes(64)) for _ in range(8)))
+    public = field(b"ssh-ed25519") + field(rng.randbytes(32))
+    check = rng.randbytes(4)
+    inner = check + check + public + field(rng.randbytes(64)) + field(b"me")
+    inner += bytes(range(1, 9 - len(inner) % 8)) if len(inner) % 8 else b""
+    ssh = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(inner)
+    return {
+        "rsa": rsa, "pkcs8": der(0x30, der(2, b"\0") + der(0x30, OID + der(5, b"")) + der(4, rsa)),
+        "encrypted": der(0x30, der(0x30, PBES2 + der(0x30, b"")) + der(4, rng.randbytes(64))),
+        "ec": der(0x30, der(2, b"\1") + der(4, rng.randbytes(32)) + der(0xA0, OID)), "ssh": ssh,
+    }
+
+
 def test_structures_are_parsed():
     rng = random.Random(1)
-    key = der(0x30, der(2, b"\0") + b"".join(der(2, rng.randbytes(64)) for _ in range(8)))
-    assert is_der_key(key) and not is_der_key(key[:-1]) and not is_der_key(rng.randbytes(len(key))) and der_items(b"\x30\x85") is None
-    text = base64.b64encode(key).decode()
-    assert "der:" in scan(f"see {text} here")[4] and "der:" in scan(f"see {key.hex()} here")[4]
-    assert scan("see " + base64.b64encode(rng.randbytes(300)).decode())[4] == ""
-    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
-    good = f"{part(json.dumps({'alg': 'HS256', 'typ': 'JWT'}).encode())}.{part(b'{}')}.{part(rng.randbytes(32))}"
-    bad = f"{part(json.dumps({'typ': 'JWT', 'x': 1}).encode())}.{part(b'{}')}.{part(rng.randbytes(32))}"
-    assert scan(good)[4] == f"jwt:0:{len(good)}" and "jwt" not in scan(bad)[4]
-    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{text}\n-----END RSA PRIVATE KEY-----"
-    assert scan("é " + pem)[4] == f"pem:2:{2 + len(pem)}"
-    assert scan(pem.replace(text, "not a key at all"))[4] == ""
-    field = lambda x: len(x).to_bytes(4, "big") + x
-    assert "ssh:" in scan("ssh-rsa " + base64.b64encode(field(b"ssh-rsa") + field(b"\1\0\1") + field(rng.randbytes(64))).decode())[4]
+    for name, key in private_keys(rng).items():
+        fine = is_ssh_key if name == "ssh" else is_der_key
+        assert fine(key) and not fine(key[:-1]) and not fine(key + b"x") and not fine(rng.randbytes(len(key))), name
+    assert der_items(b"\x30\x85") is None
+    ssh = private_keys(rng)["ssh"]
+    assert not is_ssh_key(b"openssh-key-v1\0" + rng.randbytes(len(ssh))) and not is_ssh_key(b"openssh-key-v1\0")
+    public = [der(0x30, der(0x30, OID + der(5, b"")) + der(3, b"\0" + rng.randbytes(140))), der(0x30, der(2, rng.randbytes(128)) + der(2, b"\1\0\1"))]
+    assert not any(map(is_der_key, public))
+    line = base64.b64encode(field(b"ssh-rsa") + field(b"\1\0\1") + field(rng.randbytes(64))).decode()
+    assert scan(f"ssh-rsa {line} me@host")[4] == "" and scan("see " + base64.b64encode(public[0]).decode())[4] == ""
+    head, claims, sign = {"alg": "HS256", "typ": "JWT"}, {"sub": "1"}, rng.randbytes(32)
+    token = lambda h, c, s: f"{part(json.dumps(h).encode())}.{part(c)}.{part(s)}"
+    good = token(head, json.dumps(claims).encode(), sign)
+    assert scan(good)[4] == f"jwt:0:{len(good)}"
+    for bad in (token({"typ": "JWT", "x": 1}, b"{}", sign), token(head, b"{} and more", sign), token(head, b"[1]", sign), token({"alg": "none"}, b"{}", sign), token(head, b"{}", b"abc")):
+        assert "jwt" not in scan(bad)[4]
+
+
+def test_frames_are_parsed():
+    rng = random.Random(2)
+    keys = private_keys(rng)
+    frame = lambda label, body: f"-----BEGIN {label}-----\n{body}\n-----END {label}-----"
+    b64 = lambda x: base64.b64encode(x).decode()
+    for name, label in (("rsa", "RSA PRIVATE KEY"), ("pkcs8", "PRIVATE KEY"), ("encrypted", "ENCRYPTED PRIVATE KEY"), ("ec", "EC PRIVATE KEY"), ("ssh", "OPENSSH PRIVATE KEY")):
+        pem = frame(label, base64.encodebytes(keys[name]).decode().strip())
+        assert scan("é " + pem)[4] == f"pem:2:{2 + len(pem)}"
+        assert scan(pem.replace("\n", "\\n"))[4].startswith("pem:0:")
+        assert scan(frame(label, b64(keys[name][:-3])))[4] == ""
+    assert scan(frame("ENCRYPTED PRIVATE KEY", b64(b"hello world")))[4] == ""
+    old = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    assert scan(frame("RSA PRIVATE KEY", old + b64(rng.randbytes(96))))[4].startswith("pem:0:")
+    assert "pem" not in scan(frame("RSA PRIVATE KEY", old + b64(rng.randbytes(97))))[4]
+    began = time.time()
+    scan("-----BEGIN PRIVATE KEY-----\n" * 100_000)
+    assert time.time() - began < 5
+
+
+def test_added_kinds_equal_what_was_planted():
+    """Random texts of keys, broken keys, public keys and noise in every encoding, against what was put in."""
+    rng = random.Random(3)
+    noise = lambda: rng.choice(["word", "é", "some words here", "x" * 60, rng.randbytes(45).hex()[1:], "a.b.c", part(rng.randbytes(60))])
+    for _ in range(400):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 5)):
+            name, key = rng.choice(list(private_keys(rng).items()))
+            broken = rng.random() < 0.4
+            if broken:
+                key = rng.choice([key[:-2], key + b"\0", b"\x31" + key[1:], key[: len(key) // 2]])
+            way = rng.choice(["base64", "url", "hex", "wrapped"])
+            if way == "wrapped":
+                b = base64.b64encode(key).decode()
+                enc = rng.choice(["\n", "\r\n", "\n  "]).join(b[i : i + 64] for i in range(0, len(b), 64))
+            else:
+                enc = base64.b64encode(key).decode() if way == "base64" else part(key) if way == "url" else key.hex()
+            text += noise() + " : "
+            if not broken:
+                want.append(("ssh" if name == "ssh" else "der", len(text), len(text) + len(enc)))
+            text += enc + " ; "
+        got = [x.split(":") for x in scan(text)[4].split(",") if x and x.split(":")[0] in ("der", "ssh")]
+        assert [(k, int(a), int(b)) for k, a, b in got] == want, text
 
 
 def test_tables(spark):
