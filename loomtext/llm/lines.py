@@ -6,15 +6,15 @@ sums counts documents per key, however common a key is. The keys at or over the
 broadcast while they are few (their number is checked); beyond that the lines are joined with them
 by key hash and the kept ones put together again by position.
 
-Keys are compared by a pair of 64-bit hashes. Every row counts as a document. Defined cases: a
-null or empty text is one empty line; empty keys are never dropped; a document that loses all its
-lines has the empty text. Extra columns, nulls in them included, are carried through
-``dedup_lines`` untouched.
+Keys are compared by a 128-bit hash, as a pair of numbers. Every row counts as a document. Defined
+cases: a null or empty text is one empty line; empty keys are never dropped; a document that loses
+all its lines has the empty text. Extra columns, nulls in them included, are carried through
+``dedup_lines`` untouched, but that columns named n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from loomtext.llm.common import durable, frugal, table
 
 #: A line goes if at least so many documents have its key, of at least so many code points.
 MIN_DOCS, MIN_CHARS = 10, 1
-#: The most common keys that are broadcast (8 bytes each); more are joined.
+#: The most common keys that are broadcast (16 bytes each); more are joined.
 BROADCAST_KEYS = 500_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -44,8 +44,14 @@ def _chars(key: bytes) -> int:
     return len(key) if key.isascii() else len(key.decode("utf-8", "replace"))
 
 
-def _hash(key: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(key) - (1 << 63)
+def _hash(key: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(key)
+
+
+def _pairs(hashes: list[bytes]) -> list[pa.Array]:
+    """The hashes as two columns of numbers."""
+    both = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, i])) for i in range(2)]
 
 
 def _raw(column: pa.Array) -> list[bytes]:
@@ -55,24 +61,23 @@ def _raw(column: pa.Array) -> list[bytes]:
 @frugal
 def _distinct_keys(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[int] = []
+        out: Counter = Counter()
         for raw in _raw(batch.column(0)):
-            out += map(_hash, {k for k in line_keys(raw) if k and (min_chars <= 1 or _chars(k) >= min_chars)})
+            out.update(map(_hash, {k for k in line_keys(raw) if k and (min_chars <= 1 or _chars(k) >= min_chars)}))
         # copies inside a batch are summed here, before Spark's own map-side sum
-        keys, counts = np.unique(np.array(out, dtype=np.int64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
+        yield pa.RecordBatch.from_arrays([*_pairs(list(out)), pa.array(list(out.values()), pa.int64())], names=["k1", "k2", "n"])
 
 
 def common_keys(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Hashes of the keys that at least ``min_docs`` rows have."""
-    keys = docs.select("text").mapInArrow(lambda b: _distinct_keys(b, min_chars), "key long, n long")
-    return keys.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("key")
+    """Hashes (k1, k2) of the keys that at least ``min_docs`` rows have."""
+    keys = docs.select("text").mapInArrow(lambda b: _distinct_keys(b, min_chars), "k1 long, k2 long, n long")
+    return keys.groupBy("k1", "k2").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("k1", "k2")
 
 
 @frugal
-def _drop(batches: Iterator[pa.RecordBatch], common: np.ndarray, at: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+def _drop(batches: Iterator[pa.RecordBatch], common: bytes, at: int, min_chars: int) -> Iterator[pa.RecordBatch]:
     """Each batch with its text column cut, and n_lines and n_dropped after the others."""
-    drop = set(common.tolist())
+    drop = {common[i : i + 16] for i in range(0, len(common), 16)}
     for batch in batches:
         texts, totals, losses = [], [], []
         for raw in _raw(batch.column(at)):
@@ -87,24 +92,28 @@ def _drop(batches: Iterator[pa.RecordBatch], common: np.ndarray, at: int, min_ch
         yield pa.RecordBatch.from_arrays([*cols, pa.array(totals, pa.int64()), pa.array(losses, pa.int64())], names=[*names, "n_lines", "n_dropped"])
 
 
+@frugal
+def _exploded(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+    """Each line with its row, place and key. A line without a key has one of its own (row and place), so that such lines are dealt evenly."""
+    for batch in batches:
+        for row, raw in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
+            lines = raw.split(b"\n")
+            hashes = [_hash(k) if k and (min_chars <= 1 or _chars(k) >= min_chars) else _hash(b"\n%d %d" % (row, i)) for i, k in enumerate(line_keys(raw))]
+            yield pa.RecordBatch.from_arrays([pa.array([row] * len(lines), pa.int64()), pa.array(range(len(lines)), pa.int64()), *_pairs(hashes), pc.cast(pa.array(lines, pa.binary()), pa.string())], names=["row", "pos", "k1", "k2", "line"])
+
+
 def _dropped_by_join(docs: DataFrame, common: DataFrame, min_chars: int) -> DataFrame:
     """The way without a broadcast: rows numbered and written, lines joined by key, put together by position."""
-    rows = durable(docs.withColumn("__row", F.monotonically_increasing_id()))
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, raw in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
-                lines, keys = raw.split(b"\n"), line_keys(raw)
-                hashes = [_hash(k) if k and (min_chars <= 1 or _chars(k) >= min_chars) else None for k in keys]
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(lines), pa.int64()), pa.array(range(len(lines)), pa.int64()), pa.array(hashes, pa.int64()), pc.cast(pa.array(lines, pa.binary()), pa.string())], names=["__row", "pos", "key", "line"])
-
-    lines = rows.select("__row", "text").mapInArrow(explode, "__row long, pos long, key long, line string")
-    marked = lines.join(common.withColumn("hit", F.lit(1)), "key", "left")
-    kept = marked.groupBy("__row").agg(
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("doc")
+    rows = durable(docs.select(whole, "text", F.monotonically_increasing_id().alias("row")))
+    lines = rows.select("row", "text").mapInArrow(lambda b: _exploded(b, min_chars), "row long, pos long, k1 long, k2 long, line string")
+    marked = lines.join(common.withColumn("hit", F.lit(1)), ["k1", "k2"], "left")
+    kept = marked.groupBy("row").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.coalesce("hit", F.lit(0))).alias("n_dropped"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hit").isNull(), F.struct("pos", "line")))), lambda x: x["line"]), "\n").alias("new"),
     )
-    return rows.drop("text").join(kept, "__row").select(*docs.columns, "n_lines", "n_dropped")
+    out = rows.select("doc", "row").join(kept, "row")
+    return out.select(*[F.col("new").alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns], "n_lines", "n_dropped")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -113,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     base = docs.drop("n_lines", "n_dropped")
     if common.count() > broadcast_keys:
         return _dropped_by_join(base, common, min_chars)
-    hashes = np.sort(common.toPandas()["key"].to_numpy(dtype=np.int64))  # at most ``broadcast_keys`` hashes
+    hashes = common.toPandas()[["k1", "k2"]].to_numpy(dtype="<i8").tobytes()  # at most ``broadcast_keys`` hashes
     shared = docs.sparkSession.sparkContext.broadcast(hashes)
     at = base.columns.index("text")
     schema = T.StructType([*base.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

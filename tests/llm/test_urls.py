@@ -2,7 +2,7 @@ import random
 import re
 from fnmatch import translate
 
-from loomtext.llm.urls import GLOBS, RULES, GlobAutomaton, filter_urls, parts, rule_of
+from loomtext.llm.urls import GLOBS, OP8_SQL, RULES, GlobAutomaton, canonical, filter_urls, op8_url_filter, parts, rule_of
 
 
 def test_automaton_equals_regular_expressions():
@@ -28,3 +28,22 @@ def test_table(spark):
     assert got[0] == got[1] == got[2] == ("", None, "allow") and got[3] == got[7] == ("a.com", "com/en/", "block")
     assert got[4] == ("example.com", "example.com/en/7", "allow") and got[5][2] == "block" and got[6][2] == "allow"
     assert filter_urls(rows.where("false")).count() == 0
+
+
+def test_canonical_urls():
+    assert canonical("a%2Ecom", "/%73pam/X") == "a.com/spam/x" and canonical("h", "/%25%C3%A9%0a%zz%") == "h/%%c3%a9%0a%zz%"
+    assert canonical("h", "/a/../b/./c/..") == "h/b/" and canonical("h", "/../../x") == "h/x" and canonical("h", "/a/%2e%2e/b") == "h/b" and canonical("h", "") == "h"
+
+
+def test_query_equals_its_sql_on_evasive_urls(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(2)
+    bits = ["/", "..", ".", "%73pam", "SPAM", "a", "%2e%2e", "%C3%A9", "é", "ads", "track", "%2F", "?q", "%", "%zz", ".exe", "%2eEXE", "en/7"]
+    urls = [None, "no", *(f"http://{rng.choice(['a.com', 'WWW.example.net', 'x%2Eorg', 'é.fr'])}" + "".join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(500))]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(OP8_SQL).fetchall())
+    assert sorted(tuple(r) for r in op8_url_filter(spark, str(tmp_path)).collect()) == want
+    assert 50 < sum(r[4] == "block" for r in want) < 450
