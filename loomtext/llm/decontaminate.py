@@ -59,16 +59,17 @@ def classify(chunk: str) -> tuple[int, int, int, bool]:
     """Hash of the chunk at a sentence's beginning (0: no word), hash and slot type elsewhere, and whether it ends a sentence."""
     ends = chunk.rstrip("\"')]»”").endswith((".", "!", "?", ":"))
     word = chunk.strip(_PUNCTUATION)
-    if not word.isalpha():  # most chunks need no pattern
+    letters = word.isalpha()
+    if not letters:  # most chunks need no pattern
         word = chunk if chunk in ("%",) else _TRIM.sub("", chunk)
         if not word:
             return 0, 0, 0, ends
     low = word.lower()
-    if low in NUMBERS or _NUMBER.fullmatch(low):
+    if low in NUMBERS or not letters and _NUMBER.fullmatch(low):
         kind = NUMBER
     elif low in UNITS:
         kind = UNIT if len(low) > 1 else LETTER
-    elif not low.isalpha() and (m := _QUANTITY.fullmatch(low)) and m[1] in UNITS:
+    elif not letters and (m := _QUANTITY.fullmatch(low)) and m[1] in UNITS:
         kind = QUANTITY
     else:
         kind = NAME if word[0].isupper() and not (len(word) > 1 and word.isupper()) else 0
