@@ -6,10 +6,12 @@ common subsequences of four characters within six (a word's beginning counts as
 gap decayed by ``LAMBDA``; an inserted or dropped character leaves many of them in place. The
 machine is linear in the Nyström features K(x, landmarks) K(landmarks, landmarks)^-1/2, so its value for a word is a weighted sum of the
 word's own subsequences: scoring is one table lookup for each of them, whatever the number of
-landmarks. A document's score is a logistic function of its words' values.
+landmarks. A document's score is a logistic function of its words' values. (Machines taught whole
+sentences, or sentences by windows of two words, found fewer toxic texts; see the README.)
 
 Labels are learnt from rows whose crc32(doc_id) modulo 5 is not 0, at most ``SAMPLE_BOUND`` of
-each kind, written once to the shared folder. Neither doc_id, lang nor source is an input.
+each kind, written once to the shared folder; the logistic function is fitted on a part of them
+that the machine hasn't seen. Neither doc_id, lang nor source is an input.
 
 Defined cases: a null or empty text is a document without words and gets the score of one (the
 logistic function at its baseline). Repeated rows get equal scores. Where the training rows have
@@ -31,6 +33,8 @@ from loomtext.llm.common import crc_fold, durable, frugal, labelled_sample, tabl
 SAMPLE_BOUND, WORDS_BOUND, LANDMARKS = 2_500, 5_000, 512
 #: Cost of a unit of margin, for the average word.
 COST = 0.3
+#: Rows of each label that the document's logistic function needs to be fitted apart from the machine.
+LEAST_JUDGED = 30
 LAMBDA, SPAN, LONGEST = 0.6, 6, 48
 #: Offsets (h, j, k) of a subsequence i < i+h < i+j < i+k, with its weight.
 STEPS = [(h, j, k, LAMBDA ** (k - 3)) for k in range(3, SPAN) for j in range(2, k) for h in range(1, j)]
@@ -63,7 +67,8 @@ def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all texts, each followed by a separator, and the place where each text begins."""
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = np.where(points < 0x250, _CODES[np.minimum(points, 0x24F)], (27 + points % 5).astype(np.uint8))
+    # letters of other alphabets take all 31 codes, so that those of one alphabet stay apart
+    codes = np.where(points < 0x250, _CODES[np.minimum(points, 0x24F)], (1 + points % 31).astype(np.uint8))
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(lengths)
     kept = codes != 255
@@ -264,30 +269,49 @@ def _features(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: floa
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x[:, i]) for i in range(len(FEATURES))]], names=["toxic", *FEATURES])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND) -> tuple:
-    """The model: subsequence weights, bias, and the document's logistic function; or a constant score."""
-    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(crc_fold() != 0)
-    drawn = labelled_sample(rows.where("toxic = 1"), bound).unionByName(labelled_sample(rows.where("toxic = 0"), bound))
-    sample = durable(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text"))  # at most 2 * bound rows are broadcast
+def fit_words(sample: DataFrame) -> tuple[np.ndarray, float] | None:
+    """The machine's weights by subsequence, and bias, from the words of labelled texts; None where they have none of one kind."""
     count = dict(sample.groupBy("toxic").count().collect())
-    if not count.get(1) or not count.get(0):
-        return None, float(bool(count.get(1)))
     by_word = sample.mapInArrow(_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(F.expr("1 - toxic")).alias("c"))
+    by_word = durable(by_word)
     lead = by_word.where("t >= 1").orderBy(F.desc(F.col("t") / count[1] - F.col("c") / count[0]), F.xxhash64("word"), "word").limit(WORDS_BOUND)
     common = by_word.where("c >= 1").orderBy(F.desc("c"), F.xxhash64("word"), "word").limit(WORDS_BOUND // 2)
     others = by_word.where("c >= 1").orderBy(F.xxhash64("word"), "word").limit(WORDS_BOUND)
     got = lead.unionByName(common).unionByName(others).toPandas().drop_duplicates("word")
     if not got.t.sum() or not got.c.sum():
-        return None, float(count[1] > count[0])
+        return None
     t, c = np.sqrt(got.t.to_numpy(float)), np.sqrt(got.c.to_numpy(float))
-    weights, bias = fit_machine(_respell(list(got.word)), COST * len(got) * t / t.sum(), COST * len(got) * c / c.sum())
-    x = sample.mapInArrow(lambda b: _features(b, weights, bias), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    return fit_machine(_respell(list(got.word)), COST * len(got) * t / t.sum(), COST * len(got) * c / c.sum())
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_BOUND) -> tuple:
+    """The model: subsequence weights, bias, and the document's logistic function; or a constant score.
+
+    The logistic function is fitted on rows whose crc32(doc_id) modulo 5 is 1, by a machine that
+    hasn't seen them (if there are ``LEAST_JUDGED`` of each label); the machine is then fitted on all.
+    """
+    rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(crc_fold() != 0)
+    drawn = labelled_sample(rows.where("toxic = 1"), bound).unionByName(labelled_sample(rows.where("toxic = 0"), bound))
+    sample = durable(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text", (crc_fold() == 1).alias("judging")))  # at most 2 * bound rows are broadcast
+    parts = {(r.toxic, r.judging): r["count"] for r in sample.groupBy("toxic", "judging").count().collect()}
+    count = {kind: parts.get((kind, True), 0) + parts.get((kind, False), 0) for kind in (0, 1)}
+    if not count[1] or not count[0]:
+        return None, float(bool(count[1]))
+    machine = fit_words(sample)
+    if machine is None:
+        return None, float(count[1] > count[0])
+    apart = all(parts.get((kind, judging), 0) >= LEAST_JUDGED for kind in (0, 1) for judging in (True, False))
+    earlier = fit_words(sample.where("not judging")) if apart else None
+    weights, bias = earlier or machine
+    judged = sample.where("judging") if earlier else sample
+    x = judged.select("toxic", "text").mapInArrow(lambda b: _features(b, weights, bias), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     share = rows.agg(F.avg("toxic")).first()[0]
-    w, mean, scale = fit_logistic(x[FEATURES].to_numpy(), x.toxic.to_numpy(float))
+    y = x.toxic.to_numpy(float)
+    w, mean, scale = fit_logistic(x[FEATURES].to_numpy(), y)
     # the sample holds both labels alike: shift to their true share, half way, so that 0.5 still favours neither kind much
     w = w.copy()
-    w[-1] += 0.5 * (np.log(share / (1 - share)) - np.log(count[1] / count[0]))
-    return (weights, bias, w, mean, scale), 0.0
+    w[-1] += 0.5 * (np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
+    return (*machine, w, mean, scale), 0.0
 
 
 def scores_of(column: pa.Array, model, constant: float) -> np.ndarray:
