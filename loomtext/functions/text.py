@@ -10,7 +10,9 @@ TOKEN = r"(?iu)[а-яё]+(?:['’-][а-яё]+)*|[a-z]+(?:['’-][a-z]+)*"
 SPACE = r"[\s\x1c-\x1f]"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 LABELS = {"negative": "negative", "neutral": "neutral", "positive": "positive", "neautral": "neutral", "neg": "negative", "neut": "neutral", "pos": "positive"}
-HEADER_WORDS = ["label", "text", "review", "sentiment", "class", "rating", "comment", "target"]
+# Words of a header row, by the order of columns that they tell.
+SENTIMENT_FIRST = ["review", "sentiment", "отзыв", "тональность"]
+LABEL_FIRST = ["label", "text", "метка", "текст"]
 DELIMITERS = ["\t", ",", ";"]
 
 
@@ -61,21 +63,37 @@ def delimiter(first_line: Column) -> Column:
     return F.when(most == 0, ",").when(n[0] == most, DELIMITERS[0]).when(n[1] == most, DELIMITERS[1]).otherwise(DELIMITERS[2])
 
 
+def first_line(content: Column) -> Column:
+    """The first line that isn't blank, or the empty text."""
+    breaks = "\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
+    return F.regexp_extract(or_empty(content), rf"(?U)\A(?:[\s\x1c-\x1f&&[^{breaks}]]*[{breaks}])*([^{breaks}]*)", 1)
+
+
 def is_header(cells: Column) -> Column:
     """Whether all non-empty cells are header words, and there is one."""
-    full = F.filter(F.transform(cells, lambda x: F.lower(strip(x))), lambda x: x != "")
-    return (F.size(full) > 0) & F.forall(full, lambda x: x.isin(HEADER_WORDS))
+    full = F.filter(F.transform(cells, lambda x: F.lower(strip(F.regexp_replace(strip(x), "^\ufeff+|\ufeff+$", "")))), lambda x: x != "")
+    return (F.size(full) > 0) & F.forall(full, lambda x: x.isin(SENTIMENT_FIRST + LABEL_FIRST))
 
 
 def orientation(cells: Column) -> Column:
     low = F.transform(cells, lambda x: F.lower(strip(x)))
-    hits = lambda *w: F.size(F.array_intersect(low, F.array(*map(F.lit, w))))
-    return F.when(hits("review", "sentiment") > hits("label", "text"), "sentiment_first").otherwise("label_first")
+    hits = lambda words: F.size(F.array_intersect(low, F.array(*map(F.lit, words))))
+    return F.when(hits(SENTIMENT_FIRST) > hits(LABEL_FIRST), "sentiment_first").otherwise("label_first")
 
 
-def split_row(cells: Column, d: str) -> Column:
+def split_row(cells: Column, d: Column | str) -> Column:
     """A row of one cell is split again by a delimiter other than a tab."""
-    return cells if d == "\t" else F.when(F.size(cells) == 1, F.split(cells[0], d)).otherwise(cells)
+    d = F.lit(d) if isinstance(d, str) else d
+    return F.when((F.size(cells) == 1) & (d != "\t"), F.split(cells[0], d)).otherwise(cells)
+
+
+def review_of(cells: Column, sentiment_first: Column) -> Column:
+    """struct<label, text> of a row's cells: the label first and the other cells joined by commas, or the text first and the label last."""
+    n = F.size(cells)
+    rest = F.array_join(F.slice(cells, 2, F.greatest(n - 1, F.lit(0))), ",")
+    raw = F.when(sentiment_first, F.element_at(cells, -1)).otherwise(cells[0])
+    words = F.when(sentiment_first, cells[0]).otherwise(rest)
+    return F.struct(label(raw).alias("label"), squeeze(words).alias("text"))
 
 
 def topic_of(source: Column, last: bool = False) -> Column:

@@ -81,26 +81,57 @@ def exploded(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.posexplode(tokenize(F.col(text))).alias("pos", "term"))
 
 
-def normalize(tokens: DataFrame, lemmas: DataFrame | None, synonyms: DataFrame | None, stops: DataFrame | None) -> DataFrame:
+#: Lexicons of at most so many rows are broadcast (some 50 bytes each).
+BROADCAST_ROWS = 200_000
+
+
+def _small(lexicon: DataFrame) -> DataFrame:
+    return F.broadcast(lexicon) if lexicon.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lexicon
+
+
+def lemmas_of(words: DataFrame, lemmatizer: Callable[[str], str]) -> DataFrame:
+    """(form, lemma) of the distinct terms of ``words`` by a function of one's own."""
+    return stems(words, lemmatizer).select(F.col("term").alias("form"), F.col("stem").alias("lemma"))
+
+
+def normalize(tokens: DataFrame, lemmas: DataFrame | Callable[[str], str] | None, synonyms: DataFrame | None, stops: DataFrame | None) -> DataFrame:
     """tokens (doc_id, pos, term) with lemma, canonical and is_stopword.
 
-    lemmas (form, lemma) and synonyms (form, canonical) default to the word itself; the synonym of
-    the lemma is looked up once. A token is a stop word if its lemma or itself is in ``stops`` (word).
+    lemmas (form, lemma), or a function that gives a word's lemma, and synonyms (form, canonical)
+    default to the word itself; the synonym of the lemma is looked up once. A token is a stop word
+    if its lemma or itself is in ``stops`` (word).
     """
     out = tokens.withColumn("lemma", F.col("term"))
     if lemmas is not None:
-        out = out.drop("lemma").join(lemmas.select(F.col("form").alias("term"), "lemma"), "term", "left").withColumn("lemma", F.coalesce("lemma", "term"))
+        found = lemmas_of(tokens, lemmas) if callable(lemmas) and not isinstance(lemmas, DataFrame) else _small(lemmas.select("form", "lemma"))
+        out = out.drop("lemma").join(found.withColumnRenamed("form", "term"), "term", "left").withColumn("lemma", F.coalesce("lemma", "term"))
     out = out.withColumn("canonical", F.col("lemma"))
     if synonyms is not None:
-        out = out.drop("canonical").join(synonyms.select(F.col("form").alias("lemma"), "canonical"), "lemma", "left").withColumn("canonical", F.coalesce("canonical", "lemma"))
+        out = out.drop("canonical").join(_small(synonyms.select(F.col("form").alias("lemma"), "canonical")), "lemma", "left").withColumn("canonical", F.coalesce("canonical", "lemma"))
     out = out.withColumn("is_stopword", F.lit(False))
     if stops is not None:
-        words = stops.select("word").distinct()
+        words = _small(stops.select("word").distinct())
         a, b = words.select(F.col("word").alias("term"), F.lit(True).alias("s1")), words.select(F.col("word").alias("lemma"), F.lit(True).alias("s2"))
         out = out.drop("is_stopword").join(a, "term", "left").join(b, "lemma", "left").withColumn("is_stopword", F.coalesce("s1", "s2", F.lit(False))).drop("s1", "s2")
     return out.select(*tokens.columns, "lemma", "canonical", "is_stopword")
 
 
+def without_stops(tokens: DataFrame, lemmas, synonyms, stops: DataFrame | None) -> DataFrame:
+    """``normalize`` less its stop words: anti joins on the word and on its lemma."""
+    out = normalize(tokens, lemmas, synonyms, None).drop("is_stopword")
+    if stops is not None:
+        words = _small(stops.select("word").distinct())
+        out = out.join(words.withColumnRenamed("word", "term"), "term", "left_anti").join(words.withColumnRenamed("word", "lemma"), "lemma", "left_anti")
+    return out
+
+
+def normalized_text(docs: DataFrame, lemmas=None, synonyms=None, stops=None) -> DataFrame:
+    """(doc_id, normalized, stopwords): canonical words in order joined by blanks, stop words kept, and how many they are."""
+    n = normalize(exploded(docs), lemmas, synonyms, stops)
+    words = n.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "canonical"))), lambda x: x["canonical"]), " ").alias("normalized"), F.count_if("is_stopword").alias("stopwords"))
+    return docs.select("doc_id").join(words, "doc_id", "left").select("doc_id", F.coalesce("normalized", F.lit("")).alias("normalized"), F.coalesce("stopwords", F.lit(0)).alias("stopwords"))
+
+
 def doc_terms(tokens: DataFrame, mode: str, lemmas=None, synonyms=None, stops=None) -> DataFrame:
     """(doc_id, pos, term) in one of MODES; stop words go except in raw mode."""
     mode = str(mode).strip().lower()
@@ -108,7 +139,7 @@ def doc_terms(tokens: DataFrame, mode: str, lemmas=None, synonyms=None, stops=No
         raise ValueError(f"unknown mode {mode!r}; one of {', '.join(MODES)}")
     if mode == "raw":
         return tokens
-    kept = normalize(tokens, lemmas, synonyms, stops).where(~F.col("is_stopword"))
+    kept = without_stops(tokens, lemmas, synonyms, stops)
     if mode == "stem":
         return kept.join(stems(kept), "term").select("doc_id", "pos", F.col("stem").alias("term"))
     return kept.select("doc_id", "pos", F.col(mode).alias("term"))

@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,9 +31,8 @@ def fit(weights: DataFrame, k: int) -> Lsa:
     """weights (doc_id, idx, weight), idx dense from 0. Singular values under 1e-7 of the first count as none."""
     spark = weights.sparkSession
     weights = weights.persist()
-    size = int(weights.agg(F.max("idx")).first()[0]) + 1
+    n, size = as_matrix(weights)
     rows = weights.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("w"))
-    n = rows.count()
     k = max(1, min(k, min(n, size) - 1))
     # the solver passes over the rows once for each of its steps
     kept = rows.rdd.map(lambda r: Vectors.sparse(size, [(x["idx"], x["weight"]) for x in r["w"]])).persist(StorageLevel.MEMORY_AND_DISK)
@@ -42,7 +42,8 @@ def fit(weights: DataFrame, k: int) -> Lsa:
     keep = sigma > 1e-7 * sigma[0]
     sigma, v = np.pad(sigma[keep], (0, k - int(keep.sum()))), np.pad(v[:, keep], ((0, 0), (0, k - int(keep.sum()))))
     v = v * np.where(v[np.abs(v).argmax(axis=0), range(k)] < 0, -1.0, 1.0)
-    load = spark.createDataFrame([(int(t), int(i), float(v[i, t])) for t in range(k) for i in range(size)], "topic int, idx long, loading double")
+    table = pa.table({"topic": np.repeat(np.arange(k, dtype=np.int32), size), "idx": np.tile(np.arange(size), k), "loading": v.T.ravel()})
+    load = spark.createDataFrame(table)
     return Lsa(spark.createDataFrame([(t, float(s)) for t, s in enumerate(sigma)], "topic int, sigma double"), load, fold_in(weights, load, k), k)
 
 
@@ -52,3 +53,18 @@ def fold_in(weights: DataFrame, loadings: DataFrame, k: int) -> DataFrame:
     parts = weights.join(vectors, "idx")
     sums = parts.groupBy("doc_id").agg(*[F.sum(F.col("weight") * F.col("l")[t]).alias(f"t{t}") for t in range(k)])
     return sums.select("doc_id", F.array(*[f"t{t}" for t in range(k)]).alias("vec"))
+
+
+def topics(model: Lsa, terms: DataFrame, n: int = 10) -> DataFrame:
+    """(topic, rank, term, loading): each topic's n terms of largest loading by size; terms has term and idx."""
+    order = Window.partitionBy("topic").orderBy(F.desc(F.abs("loading")), "idx")
+    top = model.loadings.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return top.join(terms.select("term", "idx"), "idx").select("topic", "rank", "term", "loading")
+
+
+def as_matrix(weights: DataFrame) -> tuple[int, int]:
+    """(documents, terms) of the rows (doc_id, idx, weight); ValueError if there are none, or one isn't a number."""
+    size = weights.agg(F.countDistinct("doc_id"), F.max("idx"), F.count_if(F.isnan("weight") | F.col("weight").isNull())).first()
+    if not size[0] or size[1] is None or size[2]:
+        raise ValueError("a matrix needs rows, and numbers in them")
+    return int(size[0]), int(size[1]) + 1

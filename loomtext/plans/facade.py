@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.functions.text import snippet
-from loomtext.operators import bayes, lexicon, lsa, sampling, search, terms
+from loomtext.operators import bayes, lexicon, sampling, terms
+from loomtext.plans.analyzers import DocVecAnalyzer, NeuralAnalyzer, SemanticAnalyzer, as_documents
+from loomtext.sources import corpus as files
 from loomtext.sources import models
 
+__all__ = ["DocVecAnalyzer", "NeuralAnalyzer", "SemanticAnalyzer", "SentimentAnalyzer"]
+
 
 class SentimentAnalyzer:
     """Naive Bayes over canonical tokens, three labels."""
@@ -16,7 +19,26 @@ class SentimentAnalyzer:
     LABELS = {"negative", "neutral", "positive"}
 
     def __init__(self, lemmas=None, synonyms=None, stops=None):
-        self.lexicons, self.model = (lemmas, synonyms, stops), None
+        self.lexicons, self.model, self.report = (lemmas, synonyms, stops), None, None
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, corpus: DataFrame | None = None, lemmas=None, synonyms=None, stops=None) -> SentimentAnalyzer:
+        """The model saved at ``path``; where there is none, one trained on ``corpus`` and saved there."""
+        found = cls(lemmas, synonyms, stops)
+        if models.exists(spark, path):
+            return found.load(spark, path)
+        if corpus is None:
+            raise ValueError(f"{path}: no model, and no corpus to train one on")
+        found.train(corpus)
+        found.save(path)
+        return found
+
+    @property
+    def is_fitted(self) -> bool:
+        return self.model is not None
+
+    def __repr__(self) -> str:
+        return f"SentimentAnalyzer(fitted={self.is_fitted}, report={self.report})"
 
     def _tokens(self, docs: DataFrame) -> DataFrame:
         return lexicon.doc_terms(lexicon.exploded(docs), "canonical", *self.lexicons).select("doc_id", "term")
@@ -35,7 +57,8 @@ class SentimentAnalyzer:
         self.model = bayes.fit(train.select("doc_id", "label"), tokens.join(kept, "term", "left_semi"), alpha)
         judged = split.where("is_test") if n_all > n_train else train
         hits = judged.join(bayes.predict(bayes.log_proba(self.model, judged, self._tokens(judged))), "doc_id")
-        return {"accuracy": hits.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0] or 0.0, "n_train": n_train, "n_test": n_all - n_train}
+        self.report = {"accuracy": hits.agg(F.avg((F.col("label") == F.col("predicted")).cast("double"))).first()[0] or 0.0, "n_train": n_train, "n_test": n_all - n_train}
+        return self.report
 
     def analyze(self, docs: DataFrame) -> DataFrame:
         """(doc_id, label, probabilities); a document without tokens is neutral, with no probabilities."""
@@ -49,7 +72,19 @@ class SentimentAnalyzer:
         empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
         return out.select("doc_id", F.when(F.col("has"), F.col("predicted")).otherwise("neutral").alias("label"), F.when(F.col("has"), F.col("probabilities")).otherwise(empty).alias("probabilities"))
 
+    def analyze_text(self, text: str | None, spark: SparkSession) -> tuple[str, dict[str, float]]:
+        """Label and probabilities of one text; neutral and none if it has no token."""
+        row = self.analyze(as_documents(spark, [text])).first()
+        return row.label, dict(row.probabilities)
+
+    def analyze_file(self, spark: SparkSession, path: str) -> DataFrame:
+        """(source, label, probabilities) of each text file at ``path``."""
+        docs = files.load_text_files(spark, path).withColumn("doc_id", F.xxhash64("source", "text")).persist()
+        return docs.select("doc_id", "source").join(self.analyze(docs), "doc_id").drop("doc_id")
+
     def save(self, path: str) -> None:
+        if self.model is None:
+            raise RuntimeError("the analyzer isn't trained")
         m = self.model
         models.save(path, {"prior": m.prior, "cond": m.cond, "base": m.base, "terms": m.terms}, kind="naive-bayes", alpha=m.alpha)
 
@@ -57,43 +92,3 @@ class SentimentAnalyzer:
         t, meta = models.load(spark, path, "naive-bayes")
         self.model = bayes.NaiveBayes(t["prior"], t["cond"], t["base"], t["terms"], meta["alpha"])
         return self
-
-
-class SemanticAnalyzer:
-    """TF-IDF and latent topics, ranked search by cosine."""
-
-    def __init__(self, lemmas=None, synonyms=None, stops=None):
-        self.lexicons, self.model = (lemmas, synonyms, stops), None
-
-    def _tokens(self, docs: DataFrame) -> DataFrame:
-        return lexicon.doc_terms(lexicon.exploded(docs), "canonical", *self.lexicons)
-
-    def fit(self, docs: DataFrame, k: int = 10, min_df: int = 1, max_df: float = 1.0, sublinear: bool = False, smooth: bool = True) -> SemanticAnalyzer:
-        """docs (doc_id, text[, source])."""
-        n = docs.count()
-        if n < 2 or isinstance(k, bool) or k < 1:
-            raise ValueError("at least two documents and one topic are needed")
-        tf = terms.term_frequency(self._tokens(docs)).persist()
-        kept = terms.pruned(terms.document_frequency(tf), n, min_df, max_df)
-        if kept.limit(2).count() < 2:
-            raise ValueError("at least two terms are needed")
-        self.idf = terms.idf(kept, n, smooth).join(terms.indexed(kept), "term").select("term", "df", "idf", "idx").persist()
-        self.sublinear, self.docs = sublinear, docs
-        weights = terms.tfidf(tf, self.idf, sublinear).join(self.idf.select("term", "idx"), "term").select("doc_id", "idx", "weight")
-        self.model = lsa.fit(weights, k)
-        return self
-
-    def vectors(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, vec) of new documents; those without known terms have no row."""
-        if self.model is None:
-            raise RuntimeError("the analyzer isn't fitted")
-        weights = terms.tfidf(terms.term_frequency(self._tokens(docs)), self.idf, self.sublinear).join(self.idf.select("term", "idx"), "term")
-        return lsa.fold_in(weights.select("doc_id", "idx", "weight"), self.model.loadings, self.model.k)
-
-    def query(self, queries: DataFrame, top_n=None) -> DataFrame:
-        """queries (doc_id, text): (query_id, rank, index, score, text, source)."""
-        q = self.vectors(queries).select(F.col("doc_id").alias("query_id"), "vec")
-        found = search.search(q, self.docs.select("doc_id").join(self.model.documents, "doc_id", "left").select(F.col("doc_id").alias("id"), "vec"), top_n)
-        docs = self.docs if "source" in self.docs.columns else self.docs.withColumn("source", F.lit(None).cast("string"))
-        named = docs.select(F.col("doc_id").alias("id"), snippet(F.col("text")).alias("text"), F.coalesce("source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).alias("source"))
-        return found.join(named, "id").select("query_id", "rank", F.col("id").alias("index"), "score", "text", "source")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as X
 from loomtext.functions import vectors as V
-from loomtext.operators import bayes, docvec, lexicon, lsa, neural, sampling, search, terms
+from loomtext.operators import bayes, lexicon, lsa, neural, sampling, search, terms, wordvec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,30 +105,62 @@ def load_lines(spark, sf_dir):
     return t.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.md5(F.array_join("l", "\n")).alias("digest"))
 
 
-@query("""
-WITH f AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS l FROM documents),
-c AS (SELECT doc_id, length(l) - length(replace(l, chr(9), '')) AS a, length(l) - length(replace(l, ',', '')) AS b, length(l) - length(replace(l, ';', '')) AS c FROM f)
-SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN ',' WHEN a = greatest(a, b, c) THEN chr(9) WHEN b = greatest(a, b, c) THEN ',' ELSE ';' END AS delimiter FROM c""")
+def _vote(line: str) -> str:
+    """SQL: the delimiter found most often in the line."""
+    n = [f"length({line}) - length(replace({line}, {d}, ''))" for d in ("chr(9)", "','", "';'")]
+    return f"CASE WHEN greatest({', '.join(n)}) = 0 THEN ',' WHEN {n[0]} = greatest({', '.join(n)}) THEN chr(9) WHEN {n[1]} = greatest({', '.join(n)}) THEN ',' ELSE ';' END"
+
+
+_FIRST_LINE = "list_filter(string_split_regex(coalesce(text, ''), '\r\n|[\n\r]'), lambda x: regexp_matches(x, '\S'))[1]"
+
+
+@query(f"WITH f AS (SELECT doc_id, coalesce({_FIRST_LINE}, '') AS l FROM documents) SELECT doc_id, {_vote('l')} AS delimiter FROM f")
 def delimiter_vote(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.delimiter(F.split(X.or_empty(F.col("text")), "\n")[0]).alias("delimiter"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.delimiter(X.first_line(F.col("text"))).alias("delimiter"))
 
 
-_HEADS = [("text,label", True, "label_first"), ("review,sentiment", True, "sentiment_first"), ("Great film,positive", False, "label_first"), ("label", True, "label_first"), (",", False, "label_first"), ("sentiment,other", False, "sentiment_first")]
+#: Lines of a file's head, by doc_id modulo 6; the other documents give their own first 30 characters.
+_HEADS = ["text,label", "отзыв;тональность", " Review ,,Sentiment", "class\trating"]
+_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()}, '{c}')" for a, b, c in _HEADS) + ") t(line, is_header, orientation)")
+@query(f"""
+WITH l AS (SELECT doc_id, CASE doc_id % 6 {" ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS))} ELSE left(coalesce(text, ''), 30) END AS line FROM documents),
+c AS (SELECT doc_id, list_transform(string_split(line, {_vote("line")}), lambda x: lower(regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS cells FROM l),
+f AS (SELECT doc_id, cells, list_filter(cells, lambda x: x <> '') AS words FROM c)
+SELECT doc_id, len(words) > 0 AND len(list_filter(words, lambda x: x NOT IN {_IN(X.SENTIMENT_FIRST + X.LABEL_FIRST)})) = 0 AS is_header,
+       CASE WHEN len(list_distinct(list_filter(cells, lambda x: x IN {_IN(X.SENTIMENT_FIRST)}))) > len(list_distinct(list_filter(cells, lambda x: x IN {_IN(X.LABEL_FIRST)}))) THEN 'sentiment_first' ELSE 'label_first' END AS orientation
+FROM f""")
 def header_detect(spark, sf_dir):
-    rows = spark.createDataFrame([(a,) for a, _, _ in _HEADS], "line string")
-    cells = F.split("line", ",")
-    return rows.select("line", X.is_header(cells).alias("is_header"), X.orientation(cells).alias("orientation"))
+    line = F.substring(X.or_empty(F.col("text")), 1, 30)
+    for i, h in enumerate(_HEADS):
+        line = F.when(F.col("doc_id") % 6 == i, h).otherwise(line)
+    cells = table(spark, sf_dir, "documents").select("doc_id", line.alias("line")).select("doc_id", F.split("line", X.delimiter(F.col("line"))).alias("cells"))
+    return cells.select("doc_id", X.is_header(F.col("cells")).alias("is_header"), X.orientation(F.col("cells")).alias("orientation"))
 
 
-_ALIASES = [(" Positive ", "positive"), ("neautral", "neutral"), ("neg", "negative"), ("NEUT", "neutral"), ("good", ""), ("", "")]
+_RAW_LABEL = "CASE WHEN toxic = 1 THEN ' NEG ' WHEN quality = 1 THEN 'Positive' WHEN doc_id % 3 = 0 THEN 'neautral' WHEN doc_id % 3 = 1 THEN 'Neut' ELSE 'good' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _ALIASES) + ") t(raw, label)")
+@query(f"WITH r AS (SELECT doc_id, lower(trim({_RAW_LABEL})) AS raw FROM labels) SELECT doc_id, CASE raw {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in X.LABELS.items())} ELSE '' END AS label FROM r")
 def label_alias(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _ALIASES], "raw string").select("raw", X.label(F.col("raw")).alias("label"))
+    return table(spark, sf_dir, "labels").select("doc_id", X.label(F.expr(_RAW_LABEL)).alias("label"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_vote("text")} AS d, text FROM (SELECT doc_id, {_RAW_LABEL} || ';' || left(replace(coalesce(text, ''), chr(10), ' '), 200) AS text FROM labels JOIN documents USING (doc_id))),
+c AS (SELECT doc_id, string_split(text, d) AS cells FROM d),
+r AS (SELECT doc_id, lower(trim(cells[1])) AS raw, trim(regexp_replace(array_to_string(cells[2:], ','), '\s+', ' ', 'g')) AS text FROM c WHERE len(cells) >= 2),
+n AS (SELECT doc_id, CASE raw {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in X.LABELS.items())} ELSE '' END AS label, text FROM r)
+SELECT * FROM n WHERE label <> '' AND text <> ''""")
+def review_rows(spark, sf_dir):
+    """Label and text of delimited rows, by the functions that the file reader uses."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    line = F.concat(F.expr(_RAW_LABEL), F.lit(";"), F.substring(F.replace(X.or_empty(F.col("text")), F.lit("\n"), F.lit(" ")), 1, 200))
+    rows = rows.select("doc_id", line.alias("line")).withColumn("d", X.delimiter(F.col("line")))
+    cells = X.split_row(F.array("line"), F.col("d"))
+    rows = rows.select("doc_id", F.when(F.col("d") == "\t", F.split("line", "\t")).otherwise(cells).alias("cells")).where(F.size("cells") >= 2)
+    return rows.select("doc_id", X.review_of(F.col("cells"), F.lit(False)).alias("r")).select("doc_id", "r.label", "r.text").where("label != '' and text != ''")
 
 
 @query("SELECT doc_id, CASE WHEN strpos(source, '_') > 0 THEN string_split(source, '_')[1] ELSE string_split(source, '.')[1] END AS topic FROM documents")
@@ -157,7 +189,20 @@ def doc_tokens_modes_vocab_size(spark, sf_dir):
 
 @query()
 def stemmed_vocabulary(spark, sf_dir):
-    return lexicon.stems(tokens_of(spark, sf_dir))
+    """Stems of the vocabulary, its letters written in Cyrillic so that there is something to stem."""
+    return lexicon.stems(tokens_of(spark, sf_dir).select(F.translate("term", "abcdefghijklmnoprstuvwyz", "абцдефгхийклмнопрстувшыз").alias("term")))
+
+
+@query(f"""
+WITH docs AS (SELECT doc_id, {_TOKENS} AS words FROM documents), tok AS (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM docs), {_LEX},
+l AS (SELECT t.*, coalesce(lem.lemma, t.term) AS lemma FROM tok t LEFT JOIN lem ON t.term = lem.form),
+n AS (SELECT l.*, coalesce(s.canonical, l.lemma) AS canonical, l.lemma IN (SELECT word FROM stops) OR l.term IN (SELECT word FROM stops) AS stop FROM l LEFT JOIN syn s ON l.lemma = s.form)
+SELECT d.doc_id, md5(coalesce(string_agg(n.canonical, ' ' ORDER BY n.pos), '')) AS digest, count(*) FILTER (WHERE n.stop) AS stopwords
+FROM docs d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""")
+def normalized_text(spark, sf_dir):
+    """Canonical words joined again, stop words kept and counted."""
+    n = lexicon.normalized_text(table(spark, sf_dir, "documents"), *lexicons(spark))
+    return n.select("doc_id", F.md5("normalized").alias("digest"), "stopwords")
 
 
 # ---- terms
@@ -490,8 +535,7 @@ def lsa_fit_sigma(spark, sf_dir):
 def lsa_topics(spark, sf_dir):
     """The ten terms of each topic with the largest loadings."""
     model, idx = _lsa(spark, sf_dir)
-    order = Window.partitionBy("topic").orderBy(F.desc(F.abs("loading")), "idx")
-    return model.loadings.withColumn("rank", F.row_number().over(order)).where("rank <= 10").join(idx, "idx").select("topic", "rank", "term", F.round("loading", 6).alias("loading"))
+    return lsa.topics(model, idx, 10).withColumn("loading", F.round("loading", 6))
 
 
 @query()
@@ -502,22 +546,25 @@ def lsa_query(spark, sf_dir):
     return search.search(_queries(vec), vec, 10)
 
 
-@query()
-def w2v_similar(spark, sf_dir):
-    """The nearest words of the 20 most common ones, by vectors of words with hierarchical softmax."""
-    from pyspark.ml.feature import Word2Vec
-
-    rows = table(spark, sf_dir, "documents").select(X.tokenize(F.col("text")).alias("words"))
-    model = Word2Vec(vectorSize=24, minCount=20, maxIter=1, seed=42, inputCol="words", outputCol="v", numPartitions=spark.sparkContext.defaultParallelism).fit(rows)
-    words = model.getVectors().select("word", F.col("vector"))
-    from pyspark.ml.functions import vector_to_array
-
-    idx = terms.indexed(words.select(F.col("word").alias("term"))).withColumnRenamed("term", "word")
-    vec = words.join(idx, "word").select(F.col("idx").alias("id"), vector_to_array("vector").alias("vec"), "word")
-    top = terms.vocabulary(tokens_of(spark, sf_dir)).limit(20).select(F.col("term").alias("word"))
-    near = search.search(vec.join(F.broadcast(top), "word").select(F.col("id").alias("query_id"), "vec"), vec, 5, exclude_self=True)
-    names = vec.select("id", "word")
-    return near.join(names.select(F.col("id").alias("query_id"), F.col("word").alias("query")), "query_id").join(names, "id").select("query", "rank", "word", "score")
+@query("""
+WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT label, i, sum(x) AS s FROM e GROUP BY ALL),
+v AS (SELECT e.vec_id, e.label, s.label AS c, e.x, CASE WHEN e.label = s.label THEN s.s - e.x ELSE s.s END AS v FROM e JOIN s USING (i)),
+d AS (SELECT vec_id, label, c, sum(x * v) / nullif(sqrt(sum(v * v)), 0) AS near FROM v GROUP BY ALL),
+b AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY round(near, 9) DESC NULLS LAST, c) AS r, c FROM d)
+SELECT label, count(*) AS n, count(*) FILTER (WHERE label = c) AS hits FROM b WHERE r = 1 GROUP BY label""")
+def leave_one_out(spark, sf_dir):
+    """Vectors whose label's centroid, made without them, is the nearest by cosine."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
+    sums = e.select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
+    centres = sums.groupBy(F.col("label").alias("c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("sum"))
+    met = e.join(F.broadcast(centres))  # one row per label
+    met = met.withColumn("sum", F.when(F.col("label") == F.col("c"), F.zip_with("sum", "vec", lambda a, b: a - b)).otherwise(F.col("sum")))
+    size = V.norm(F.col("sum"))
+    near = F.when(size > 0, V.dot(F.col("vec"), F.col("sum")) / size)
+    order = Window.partitionBy("vec_id").orderBy(F.desc_nulls_last(F.round(near, 9)), "c")
+    first = met.withColumn("r", F.row_number().over(order)).where("r = 1")
+    return first.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("c")).alias("hits"))
 
 
 @query()
@@ -543,14 +590,55 @@ def _words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.tokenize(F.col("text")).alias("words"))
 
 
+def _word_vectors(spark, sf_dir, kind):
+    words = _words(spark, sf_dir).persist()
+    return wordvec.fit(words, kind, dim=32, min_count=5, epochs=1 if kind == "word" else 3), words
+
+
+@query()
+def w2v_similar(spark, sf_dir):
+    """The nearest words of the 20 most common ones, by vectors of negative sampling."""
+    model, _ = _word_vectors(spark, sf_dir, "word")
+    top = [r.term for r in terms.vocabulary(tokens_of(spark, sf_dir)).limit(20).collect()]
+    return spark.createDataFrame([(q, i + 1, w, s) for q in top for i, (w, s) in enumerate(wordvec.most_similar(model, q, 5))], "query string, rank int, word string, score double")
+
+
+@query()
+def w2v_analogy(spark, sf_dir):
+    """The three words nearest to a - b + c, over neighbours among the 21 most common words."""
+    model, _ = _word_vectors(spark, sf_dir, "word")
+    top = [r.term for r in terms.vocabulary(tokens_of(spark, sf_dir)).limit(21).collect()]
+    rows = [(*q, i + 1, w, s) for q in zip(top[::3], top[1::3], top[2::3]) for i, (w, s) in enumerate(wordvec.analogy(model, *q))]
+    return spark.createDataFrame(rows, "a string, b string, c string, rank int, word string, score double")
+
+
+@query()
+def w2v_query(spark, sf_dir):
+    """Each document whose id is divisible by 100 against all, by the mean of its known words' vectors."""
+    model, words = _word_vectors(spark, sf_dir, "word")
+    vec = wordvec.mean_pooled(model, words).withColumnRenamed("doc_id", "id").persist()
+    return search.search(_queries(vec), vec, 10, exclude_self=True)
+
+
 @query()
 def d2v_query(spark, sf_dir):
     """Each document whose id is divisible by 100 against all, by inferred document vectors."""
-    words = _words(spark, sf_dir)
-    vec = docvec.vectors(docvec.train(docvec.sample(words, 500), dim=32, epochs=5), words).withColumnRenamed("doc_id", "id").persist()
+    model, words = _word_vectors(spark, sf_dir, "document")
+    vec = wordvec.inferred(model, words).withColumnRenamed("doc_id", "id").persist()
     return search.search(_queries(vec), vec, 10, exclude_self=True)
 
 
+@query()
+def model_agreement(spark, sf_dir):
+    """Share of the documents with an id divisible by 100 whose nearest other document is the same by word means and by inferred vectors."""
+    found = []
+    for kind, fold in (("word", wordvec.mean_pooled), ("document", wordvec.inferred)):
+        model, words = _word_vectors(spark, sf_dir, kind)
+        vec = fold(model, words).withColumnRenamed("doc_id", "id").persist()
+        found.append(search.search(_queries(vec), vec, 1, exclude_self=True).select("query_id", F.col("id").alias(kind)))
+    return found[0].join(found[1], "query_id").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("word") == F.col("document")).cast("double")).alias("agreement"))
+
+
 def _network(spark, sf_dir, kind):
     words = _words(spark, sf_dir)
     topics = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label")).where("label is not null")

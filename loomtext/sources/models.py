@@ -21,3 +21,9 @@ def load(spark: SparkSession, path: str, kind: str) -> tuple[dict[str, DataFrame
     if meta.get("version") != VERSION or meta.get("kind") != kind:
         raise ValueError(f"{path}: not a {kind} model of version {VERSION}")
     return {t: spark.read.parquet(f"{path}/{t}.parquet") for t in meta["tables"]}, meta
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a model directory is at ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta.json")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from loomtext.operators import docvec, neural
+from loomtext.operators import neural, wordvec
 
 
 @pytest.mark.parametrize("kind", ["cnn", "gru"])
@@ -49,15 +49,42 @@ def test_network_learns(spark, kind):
         neural.train(kind, docs, ["a"] * len(docs))
 
 
-def test_document_vectors(spark):
+@pytest.mark.parametrize("kind", ["word", "document"])
+def test_vectors_of_words_and_documents(spark, kind):
     docs, labels = corpus()
-    model = docvec.train(docs, dim=12, epochs=20)
-    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)] + [(1000, ["zzz"]), (1001, docs[0])], "doc_id long, words array<string>")
-    got = {r.doc_id: np.array(r.vec) for r in docvec.vectors(model, rows).collect()}
-    assert not got[1000].any() and (got[1001] == got[0]).all()
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)] + [(1000, ["zzz"]), (1001, docs[0]), (1002, None)], "doc_id long, words array<string>")
+    model = wordvec.fit(rows.where("doc_id < 1000"), kind, dim=12, epochs=8, parts=2)
+    got = {r.doc_id: np.array(r.vec) for r in (wordvec.mean_pooled if kind == "word" else wordvec.inferred)(model, rows).collect()}
+    assert not got[1000].any() and not got[1002].any() and (got[1001] == got[0]).all()
     x = np.array([got[i] for i in range(len(docs))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     s = x @ x.T - 2 * np.eye(len(x))
     assert np.mean([labels[i] == labels[j] for i, j in enumerate(s.argmax(axis=1))]) > 0.9
-    with pytest.raises(ValueError):
-        docvec.train([["a"]], min_count=2)
+    if kind == "word":
+        assert {w for w, _ in wordvec.most_similar(model, "soup", 4)} == {"bread", "salt", "cook", "pan"}
+        assert wordvec.most_similar(model, "zzz") == [] and model.word_vector("zzz") is None and len(wordvec.analogy(model, "soup", "goal", "team")) == 3
+        assert np.allclose(got[0], np.mean([model.word_vector(w) for w in docs[0]], axis=0), atol=1e-6)
+        back = wordvec.from_table(wordvec.to_table(model, spark), kind="word")
+        assert back.vocabulary == model.vocabulary and (back.words == model.words).all() and (back.counts == model.counts).all()
+    assert sum(model.counts) == sum(map(len, docs))
+    for bad in ({"dim": 0}, {"dim": 1.5}, {"epochs": True}, {"min_count": 99_999}, {"alpha": 0}):
+        with pytest.raises(ValueError):
+            wordvec.fit(rows, kind, **bad)
+
+
+def test_word_windows_by_brute_force():
+    """One batch's gradient against a loop over its pairs."""
+    rng = np.random.default_rng(1)
+    v, dim = 9, 4
+    m = wordvec.Vectors("word", {str(i): i for i in range(v)}, rng.normal(size=(v, dim)), rng.normal(size=(v, dim)), np.ones(v), window=2, negative=0)
+    ids, doc = np.array([0, 3, -1, 5, 6, 7, 8]), np.array([0, 0, 0, 0, 1, 1, 1])
+    old = (m.words.copy(), m.context.copy())
+    want_w, want_c = old[0].copy(), old[1].copy()
+    for i in range(7):
+        for j in range(max(0, i - 2), min(7, i + 3)):
+            if i != j and doc[i] == doc[j] and ids[i] >= 0 and ids[j] >= 0:
+                gap = 1 - wordvec.sigmoid(old[0][ids[i]] @ old[1][ids[j]])
+                want_w[ids[i]] += 0.1 * gap * old[1][ids[j]]
+                want_c[ids[j]] += 0.1 * gap * old[0][ids[i]]
+    wordvec.learn_words(m, ids, doc, 0.1, rng)
+    assert np.allclose(m.words, want_w) and np.allclose(m.context, want_c)

@@ -98,6 +98,15 @@ def test_review_files(spark, tmp_path):
     (tmp_path / "b.tsv").write_bytes("review\tsentiment\nплохо\tnegative\n".encode("cp1251"))
     got = {(r.label, r.text) for r in corpus.load_corpus(spark, str(tmp_path)).collect()}
     assert got == {("positive", "good, really"), ("neutral", "so so"), ("negative", "плохо")}
+    long = "слово " * 60_000
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "c.csv").write_text("\n \nотзыв;тональность\n" + f'"{long}";pos\n"две; части";NEG\n')
+    (tmp_path / "more" / "d.csv").write_text("class,rating\npos,no header here\nlabel,text\nneg,after a header\n")
+    more = {(r.label, r.text) for r in corpus.load_corpus(spark, str(tmp_path / "more")).collect()}
+    assert more == {("positive", long.strip()), ("negative", "две; части"), ("positive", "no header here"), ("negative", "after a header")}
+    assert {(r.label, r.text) for r in corpus.read_reviews(spark, str(tmp_path / "a.csv")).collect()} == {("positive", "good"), ("neutral", "so so")}
+    sample = corpus.write_seed_sample(corpus.load_corpus(spark, str(tmp_path / "more")), str(tmp_path / "seed"), 2)
+    assert sorted(r.label for r in sample.collect()) == ["negative", "positive"] and corpus.read_reviews(spark, str(tmp_path / "seed")).count() == 2
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "none.csv").write_text("text,label\ngood,pos\n")
     with pytest.raises(ValueError):
@@ -139,9 +148,9 @@ def test_sentiment_analyzer(spark, tmp_path):
 
 def test_semantic_analyzer(spark):
     docs = spark.createDataFrame([(0, "cat dog pet cat"), (1, "dog pet animal"), (2, "stock market money"), (3, "market bank money"), (4, "12 34")], "doc_id long, text string")
-    a = SemanticAnalyzer().fit(docs, k=2)
+    a = SemanticAnalyzer(spark).fit(docs, k=2)
     q = spark.createDataFrame([(100, "pet dog"), (101, "unknownword")], "doc_id long, text string")
     got = a.query(q, 2).collect()
     assert {r["index"] for r in got if r.query_id == 100} == {0, 1} and not [r for r in got if r.query_id == 101]
     with pytest.raises(ValueError):
-        SemanticAnalyzer().fit(docs.limit(1))
+        SemanticAnalyzer(spark).fit(docs.limit(1))
