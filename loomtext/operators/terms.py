@@ -31,9 +31,11 @@ def indexed(terms: DataFrame, first: int = 0) -> DataFrame:
     Terms are range-partitioned and sorted; each partition's size gives the next one's offset.
     """
     cut = terms.select("term").repartitionByRange(max(1, terms.sparkSession.sparkContext.defaultParallelism), "term").sortWithinPartitions("term")
-    numbered = cut.withColumn("p", F.spark_partition_id()).withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("term")))
+    # kept, since offsets and ranks must come of one and the same partitioning
+    numbered = cut.withColumn("p", F.spark_partition_id()).withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("term"))).persist()
     sizes = numbered.groupBy("p").agg(F.max("r").alias("size"))
-    earlier = sizes.alias("x").join(sizes.alias("y"), F.col("y.p") < F.col("x.p"), "left").groupBy("x.p").agg(F.coalesce(F.sum("y.size"), F.lit(0)).alias("skip"))  # one row per partition
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    earlier = sizes.select("p", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("skip"))
     return numbered.join(F.broadcast(earlier), "p").select("term", (F.col("skip") + F.col("r") - 1 + first).cast("long").alias("idx"))
 
 

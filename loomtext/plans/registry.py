@@ -111,7 +111,7 @@ def _vote(line: str) -> str:
     return f"CASE WHEN greatest({', '.join(n)}) = 0 THEN ',' WHEN {n[0]} = greatest({', '.join(n)}) THEN chr(9) WHEN {n[1]} = greatest({', '.join(n)}) THEN ',' ELSE ';' END"
 
 
-_FIRST_LINE = "list_filter(string_split_regex(coalesce(text, ''), '\r\n|[\n\r]'), lambda x: regexp_matches(x, '\S'))[1]"
+_FIRST_LINE = r"list_filter(string_split_regex(coalesce(text, ''), '\r\n|[\n\r]'), lambda x: regexp_matches(x, '\S'))[1]"
 
 
 @query(f"WITH f AS (SELECT doc_id, coalesce({_FIRST_LINE}, '') AS l FROM documents) SELECT doc_id, {_vote('l')} AS delimiter FROM f")
@@ -124,7 +124,7 @@ _HEADS = ["text,label", "отзыв;тональность", " Review ,,Sentimen
 _IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-@query(f"""
+@query(rf"""
 WITH l AS (SELECT doc_id, CASE doc_id % 6 {" ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HEADS))} ELSE left(coalesce(text, ''), 30) END AS line FROM documents),
 c AS (SELECT doc_id, list_transform(string_split(line, {_vote("line")}), lambda x: lower(regexp_replace(x, '^\s+|\s+$', '', 'g'))) AS cells FROM l),
 f AS (SELECT doc_id, cells, list_filter(cells, lambda x: x <> '') AS words FROM c)
@@ -147,7 +147,7 @@ def label_alias(spark, sf_dir):
     return table(spark, sf_dir, "labels").select("doc_id", X.label(F.expr(_RAW_LABEL)).alias("label"))
 
 
-@query(f"""
+@query(rf"""
 WITH d AS (SELECT doc_id, {_vote("text")} AS d, text FROM (SELECT doc_id, {_RAW_LABEL} || ';' || left(replace(coalesce(text, ''), chr(10), ' '), 200) AS text FROM labels JOIN documents USING (doc_id))),
 c AS (SELECT doc_id, string_split(text, d) AS cells FROM d),
 r AS (SELECT doc_id, lower(trim(cells[1])) AS raw, trim(regexp_replace(array_to_string(cells[2:], ','), '\s+', ' ', 'g')) AS text FROM c WHERE len(cells) >= 2),
