@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from loomtext.operators import neural, wordvec
+from loomtext.operators import neural, terms, wordvec
+from loomtext.operators.lexicon import stem
+from loomtext.plans.registry import QUERIES, _kept
 
 
 @pytest.mark.parametrize("kind", ["cnn", "gru"])
@@ -88,3 +90,40 @@ def test_word_windows_by_brute_force():
                 want_c[ids[j]] += 0.1 * gap * old[0][ids[i]]
     wordvec.learn_words(m, ids, doc, 0.1, rng)
     assert np.allclose(m.words, want_w) and np.allclose(m.context, want_c)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_pca_query_equals_numpy(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r.embedding for r in rows], dtype=float)
+    x -= x.mean(axis=0)
+    axes = np.linalg.svd(x, full_matrices=False)[2][:2]
+    axes *= np.where(axes[range(2), np.abs(axes).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+    want = {r.vec_id: p for r, p in zip(rows, x @ axes.T)}
+    got = {r.id: (r.p1, r.p2) for r in QUERIES["pca_2d"](spark, SF).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[i], want[i], atol=1e-5) for i in want)
+
+
+def test_topic_queries_equal_numpy(spark):
+    """Singular values and the search of all documents, from the same weights by a full decomposition."""
+    tf, kept, n = _kept(spark, SF, min_df=20, max_df=0.5)
+    w = terms.tfidf(tf, terms.idf(kept, n)).join(terms.indexed(kept), "term").select("doc_id", "idx", "weight").toPandas()
+    docs = sorted(set(w.doc_id))
+    x = np.zeros((len(docs), w.idx.max() + 1))
+    x[[docs.index(d) for d in w.doc_id], w.idx] = w.weight
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    sigma = [r.sigma for r in QUERIES["lsa_fit_sigma"](spark, SF).orderBy("topic").collect()]
+    assert np.allclose(sigma, s[:5], rtol=1e-6)
+    v = x @ vt[:5].T
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    got: dict[int, list[float]] = {}
+    for r in QUERIES["lsa_query"](spark, SF).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    assert got and all(np.allclose(scores, np.sort(v @ v[docs.index(q)])[::-1][:10], atol=1e-6) for q, scores in got.items())
+
+
+def test_stem_query_equals_the_stemmer(spark):
+    rows = QUERIES["stemmed_vocabulary"](spark, SF).collect()
+    assert all(r.stem == stem(r.term) for r in rows) and sum(r.stem != r.term for r in rows) > 100
