@@ -21,6 +21,14 @@ def test_ids_equal_the_published_tokenizer(tokenizer):
         assert ids(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_a_text_is_encoded_in_one_call():
+    encode = ChunkEncoder()
+    calls, whole = [], encode.encode
+    encode.encode = lambda t: calls.append(t) or whole(t)
+    text = " ".join(f"word{i}" for i in range(500))
+    assert encode.ids(text).tolist() == whole(text) and calls == [text]
+
+
 def test_cut():
     assert cut(1) == [(0, 1)] and cut(2048) == [(0, 2048)]
     assert cut(2049) == [(0, 1), (1, 2048)] and cut(4096) == [(0, 2048), (2048, 2048)]
