@@ -47,3 +47,17 @@ def test_query_equals_its_sql_on_evasive_urls(spark, tmp_path):
     want = sorted(con.execute(OP8_SQL).fetchall())
     assert sorted(tuple(r) for r in op8_url_filter(spark, str(tmp_path)).collect()) == want
     assert 50 < sum(r[4] == "block" for r in want) < 450
+
+
+def test_every_rule_has_the_contracts_word(spark, tmp_path):
+    import duckdb
+
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert ", ".join(f"{v} {h}{p}" for v, h, p in RULES) == contract
+    urls = [f"https://{sub}{h}{p}{end}" for _, h, p in RULES for sub in ("", "www.") for end in ("1", "casino")]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = [(h + p, v) for v, h, p in RULES for _ in range(4)]
+    assert [(r.rule, r.verdict) for r in op8_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()] == want
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert [r[3:] for r in sorted(con.execute(OP8_SQL).fetchall())] == want
