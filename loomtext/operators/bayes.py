@@ -52,6 +52,8 @@ def proba(logp: DataFrame) -> DataFrame:
 
 
 def predict(logp: DataFrame) -> DataFrame:
-    """The label with the highest value; ties go to the first in order."""
-    best = logp.groupBy("doc_id").agg(F.max(F.struct("logp")).getField("logp").alias("top"))
-    return logp.join(best, "doc_id").where(F.col("logp") == F.col("top")).groupBy("doc_id").agg(F.min("label").alias("predicted"))
+    """The label with the highest value; ties go to the first in order.
+
+    One aggregate, so that each value is computed once: sums taken anew in another order may differ in the last digits.
+    """
+    return logp.groupBy("doc_id").agg(F.min(F.struct((-F.col("logp")).alias("least"), "label")).getField("label").alias("predicted"))

@@ -34,6 +34,15 @@ def test_tfidf_rows_have_norm_one(spark):
     assert all(abs(r.s - 1) < 1e-12 for r in w.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect())
 
 
+def test_bayes_predicts_every_document_though_sums_vary(spark):
+    """Sums of shuffled rows come out anew in the last digits; a tie goes to the first label."""
+    noisy = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()
+    rows = spark.createDataFrame([(i, lab, -5.0 - (i + j) % 3) for i in range(60) for j, lab in enumerate("abc")], "doc_id long, label string, logp double")
+    assert {r.doc_id: r.predicted for r in bayes.predict(rows.withColumn("logp", noisy("logp"))).collect()} == {i: "acb"[i % 3] for i in range(60)}
+    tied = spark.createDataFrame([(1, "b", -2.0), (1, "a", -2.0), (1, "c", -3.0)], rows.schema)
+    assert [r.predicted for r in bayes.predict(tied).collect()] == ["a"]
+
+
 def test_bayes_priors_and_smoothing(spark):
     docs = spark.createDataFrame([(1, "n"), (2, "p"), (3, "p"), (4, "p")], "doc_id long, label string")
     tokens = spark.createDataFrame([(1, "bad"), (2, "good"), (3, "good"), (4, "fine")], "doc_id long, term string")
