@@ -9,7 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +128,41 @@ def without_stops(tokens: DataFrame, lemmas, synonyms, stops: DataFrame | None)
     return out
 
 
+def _dictionaries(lemmas, synonyms, stops) -> tuple[dict, dict, set] | None:
+    """The lexicons as dictionaries; None if one is a function, has more than BROADCAST_ROWS rows, or a form twice."""
+    out: list[dict] = []
+    for lexicon, names in ((lemmas, ("form", "lemma")), (synonyms, ("form", "canonical")), (stops, ("word", "word"))):
+        if lexicon is not None and not isinstance(lexicon, DataFrame):
+            return None
+        rows = [] if lexicon is None else lexicon.select(*[F.col(c).alias(x) for c, x in zip(names, "ab")]).where("a is not null").limit(BROADCAST_ROWS + 1).collect()
+        out.append({r.a: r.b for r in rows})
+        if len(rows) > BROADCAST_ROWS or len(out[-1]) < len(rows) and names[0] == "form":
+            return None
+    return out[0], out[1], set(out[2])
+
+
+def _rewritten(batches: Iterator[pa.RecordBatch], lemmas: dict, synonyms: dict, stops: set) -> Iterator[pa.RecordBatch]:
+    """(doc_id, normalized, stopwords) of rows (doc_id, words); each distinct word of a batch is looked up once."""
+    for b in batches:
+        lists = b.column(1)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = [x if (x := lemmas.get(w)) is not None else w for w in words]
+        canonical = pa.array([x if (x := synonyms.get(lemma)) is not None else lemma for lemma in found], pa.string()).take(coded.indices)
+        stop = np.array([lemma in stops or w in stops for w, lemma in zip(words, found)], dtype=np.int64)
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        before = np.concatenate(([0], np.cumsum(stop[coded.indices.to_numpy()]))) if len(words) else np.zeros(1, dtype=np.int64)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), canonical), " ")
+        yield pa.RecordBatch.from_arrays([b.column(0), joined, pa.array(before[at[1:]] - before[at[:-1]], pa.int64())], names=["doc_id", "normalized", "stopwords"])
+
+
 def normalized_text(docs: DataFrame, lemmas=None, synonyms=None, stops=None) -> DataFrame:
     """(doc_id, normalized, stopwords): canonical words in order joined by blanks, stop words kept, and how many they are."""
+    tables = _dictionaries(lemmas, synonyms, stops)
+    if tables is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(tables)
+        known = F.when(F.col("doc_id").isNull(), F.array().cast("array<string>")).otherwise(tokenize(F.col("text")))  # as in a join, no words for a null id
+        return docs.select("doc_id", known.alias("words")).mapInArrow(lambda b: _rewritten(b, *shared.value), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, normalized string, stopwords long")
     n = normalize(exploded(docs), lemmas, synonyms, stops)
     words = n.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "canonical"))), lambda x: x["canonical"]), " ").alias("normalized"), F.count_if("is_stopword").alias("stopwords"))
     return docs.select("doc_id").join(words, "doc_id", "left").select("doc_id", F.coalesce("normalized", F.lit("")).alias("normalized"), F.coalesce("stopwords", F.lit(0)).alias("stopwords"))
