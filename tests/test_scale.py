@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators import lexicon, neural
+from loomtext.operators import lexicon, neural, search, wordvec
 from loomtext.plans.registry import LEMMAS, ORACLES, QUERIES, STOPS, lexicons
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,59 @@ def test_each_draw_is_looked_up_once_and_each_row_answered(spark, tmp_path):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     got = [tuple(r) for r in QUERIES["negative_sample_asof"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=repr) == sorted(con.execute(ORACLES["negative_sample_asof"]).fetchall(), key=repr) and len(got) == len(ids)
+
+
+def test_search_ranks_by_twelve_decimals_before_it_drops(spark):
+    rows = [(5, [1.0, 0.0]), (3, [1.0, 1e-7]), (9, [1.0, 0.0]), (7, [0.0, 1.0]), (8, None), (6, [0.5])]
+    corpus = spark.createDataFrame(rows, "id long, vec array<double>").coalesce(1)
+    queries = spark.createDataFrame([(1, [2.0, 0.0]), (5, [1.0, 0.0])], "query_id long, vec array<double>")
+    got = sorted((r.query_id, r.rank, r.id) for r in search.search(queries, corpus, 2, exclude_self=True).collect())
+    assert got == [(1, 1, 3), (1, 2, 5), (5, 1, 3), (5, 2, 9)]
+
+
+def test_search_by_brute_force_over_many_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (700, 3)).astype(float)  # many ties and some zeros
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(3)
+    queries = corpus.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.where(size > 0, x / np.maximum(size, 1e-12), 0)
+    for own in (False, True):
+        got: dict[int, list] = {}
+        for r in search.search(queries, corpus, 7, exclude_self=own, block=9).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        for q in range(0, 700, 10):
+            ids = [i for i in range(700) if not (own and i == q)]
+            assert got[q] == sorted(ids, key=lambda i: (-round(float(u[q] @ u[i]), 12), i))[:7]
+
+
+def test_document_steps_by_loops():
+    rng = np.random.default_rng(5)
+    m = wordvec.Vectors("document", {str(i): i for i in range(9)}, rng.normal(size=(9, 4)), rng.normal(size=(9, 4)), np.arange(1, 10), negative=2)
+    ids, old = rng.integers(0, 9, 30), m.context.copy()
+    v = old[ids].mean(axis=0)
+    v /= np.linalg.norm(v)
+    away = m.draw(np.random.default_rng(1), 60)
+    step, met = np.zeros_like(old), np.zeros(9)
+    for at, want in [(i, 1) for i in ids] + [(i, 0) for i in away]:
+        step[at] += 0.1 * (want - wordvec.sigmoid(old[at] @ v)) * v
+        met[at] += 1
+    wordvec.learn_document(m, ids, 0.1, np.random.default_rng(1))
+    assert np.allclose(m.context, old + step / np.sqrt(np.maximum(1, met / 4))[:, None])
+
+
+def test_models_share_ids_and_common_words(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a", "z"]), (2, None), (3, ["b", "a"]), (4, [])], "doc_id long, words array<string>")
+    found, ids = wordvec.prepared(rows, 2)
+    assert found == [("a", 3), ("b", 2)] and {r.doc_id: list(r.ids) for r in ids.collect()} == {1: [0, 1, 0, -1], 2: [], 3: [1, 0], 4: []}
+    model = wordvec.fit(rows, dim=4, min_count=2, epochs=1, ready=(found, ids))
+    assert wordvec.most_common(model, 2) == ["a", "b"]
+    by = lambda t: {r.doc_id: r.vec for r in wordvec.mean_pooled(model, t).collect()}
+    assert by(ids) == by(rows)
+    assert wordvec.vocabulary_of(rows, 1, 2) == [("a", 3), ("b", 2)]
+
+
+def test_guided_draws_equal_a_search():
+    m = wordvec.Vectors("word", {}, np.zeros((5000, 2)), np.zeros((5000, 2)), np.arange(1, 5001)[::-1] ** 2)
+    u = np.random.default_rng(8).random(20_000)
+    assert (m.draw(np.random.default_rng(8), 20_000) == np.minimum(np.searchsorted(m.cdf, u), 4999)).all()
