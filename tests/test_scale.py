@@ -6,9 +6,10 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import functions as F
 
-from loomtext.operators import lexicon, neural, search, wordvec
+from loomtext.operators import lexicon, lsa, neural, search, wordvec
 from loomtext.plans.registry import LEMMAS, ORACLES, QUERIES, STOPS, lexicons
 
 SF = "/root/testdata/sf0.001"
@@ -120,3 +121,17 @@ def test_guided_draws_equal_a_search():
     m = wordvec.Vectors("word", {}, np.zeros((5000, 2)), np.zeros((5000, 2)), np.arange(1, 5001)[::-1] ** 2)
     u = np.random.default_rng(8).random(20_000)
     assert (m.draw(np.random.default_rng(8), 20_000) == np.minimum(np.searchsorted(m.cdf, u), 4999)).all()
+
+
+def test_topics_solver_reads_rows_of_the_jvm(spark, monkeypatch):
+    """Rows handed to the solver are a kept DataFrame; an RDD of Python's would be decoded at each of its steps."""
+    given = []
+    monkeypatch.setattr(lsa, "RowMatrix", lambda rows, *size: given.append((type(rows).__name__, "InMemoryTableScan" in plan(rows))) or RowMatrix(rows, *size))
+    weights = spark.createDataFrame([(d, i, float((d * 7 + i * 3) % 5 + 1)) for d in range(12) for i in range(8) if (d + i) % 3], "doc_id long, idx long, weight double")
+    model = lsa.fit(weights, 2)
+    assert given == [("DataFrame", True)]
+    x = np.zeros((12, 8))
+    for r in weights.collect():
+        x[r.doc_id, r.idx] = r.weight
+    assert np.allclose([r.sigma for r in model.sigma.orderBy("topic").collect()], np.linalg.svd(x)[1][:2])
+    assert model.documents.count() == 12
